@@ -45,11 +45,11 @@ from strandloom.llm._shared import RangeBuckets, work_path
 MAGIC = b"FWBP1\0\0\0"
 BLOCK = 4096
 END_ID = 2
-#: Distinct pieces of text whose ids a worker keeps.
-CACHE = 400_000
-# Boundaries of the tokenizer's own words: a blank after what isn't white space.
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: Distinct pieces of text that a worker keeps: of those seen again, and of new ones.
+KNOWN, YOUNG = 500_000, 500_000
+_PIECE = re.compile(r"[ \n]*[^\W_]++|[ \n]*[^ \n]+|[ \n]+")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ASCII_SPACE = [c for c in _OTHER_SPACE if c.isascii()]
 
 
 def width_of(vocabulary: int) -> int:
@@ -84,10 +84,14 @@ def unpack(data: bytes | memoryview, n: int, width: int) -> np.ndarray:
 class Encoder:
     """Ids of whole texts, as uint32.
 
-    The tokenizer splits a text into words before anything else, and a blank
-    that follows a visible character always begins a word.  So a text is cut
-    there, and each distinct piece is encoded once by the tokenizers library.  A
-    text with white space other than blanks and line ends is encoded uncut.
+    The tokenizer splits a text into words before anything else.  A word never
+    goes on past letters or digits into other signs, nor past a visible character
+    into a blank or line end; a text is cut there, and a piece is encoded by the
+    tokenizers library when it is new.  A text with other white space is encoded
+    uncut.
+
+    Pieces that have been seen once wait among the ``young``; only those that are
+    seen again are ``known``, as most distinct pieces occur once.
     """
 
     def __init__(self, path: str):
@@ -97,23 +101,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces, known = _PIECE.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join([known[p] for p in pieces])
+        if any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE)):
+            return self._encoded([text])[0]
+        pieces = _PIECE.findall(text)
+        got = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            again, fresh, young, known = {}, {}, self.young, self.known
+            for i in missing:
+                p = pieces[i]
+                if p in young:
+                    again[p] = young.pop(p)
+                elif p not in again:
+                    fresh[p] = b""
+            for p, x in zip(fresh, self._encoded(list(fresh))):
+                fresh[p] = x
+            if len(known) + len(again) > KNOWN:
+                known.clear()
+            known.update(again)
+            if len(young) + len(fresh) > YOUNG:
+                young.clear()
+            young.update(fresh)
+            for i in missing:
+                p = pieces[i]
+                got[i] = fresh[p] if p in fresh else again[p]
+        return b"".join(got)
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
