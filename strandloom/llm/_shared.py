@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,30 @@ class RangeBuckets:
         at = F.greatest(F.size(F.filter(heads, lambda x: x <= k)), F.lit(1))
         within = F.size(F.filter(F.element_at(nested, at), lambda x: x <= k))
         return F.coalesce(F.greatest((at - 1) * width + within - 1, F.lit(0)), F.lit(0))
+
+
+_ODD = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+            made = np.full(n, base, np.uint64)
+            made[0] = 1
+            _POWERS[name] = np.multiply.accumulate(made)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def slice_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of an array of uint64, in a few vector operations:
+    differences of prefix sums of a polynomial, brought to the same power."""
+    up, down = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm._shared import slice_hashes
+
 REACH, DIM, HIDDEN = 2, 16, 32
 CLASSES, PER_CLASS, RARE = 32, 32, 64
 VOCABULARY = CLASSES * PER_CLASS
@@ -45,18 +47,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + 1
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_TABLES.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _TABLES[name] = np.multiply.accumulate(table)
-    return _TABLES["up"], _TABLES["down"]
 
 
 def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +55,7 @@ def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = np.concatenate(([True], _SPACE[raw], [True]))
     start = np.flatnonzero(space[:-1] & ~space[1:])
     end = np.flatnonzero(~space[:-1] & space[1:])
-    up, down = _powers(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[raw] * up[: len(raw)], dtype=np.uint64)))
-    h = (sums[end] - sums[start]) * down[start]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h, start
+    return slice_hashes(_LOWER[raw], start, end), start
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarray]]]:

@@ -28,7 +28,6 @@ the order of their ids' bytes; null doc_ids come first.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,16 +39,21 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import RangeBuckets, work_path
+from strandloom.llm._shared import RangeBuckets, slice_hashes, work_path
 
 MAGIC = b"FWBP1\0\0\0"
 BLOCK = 4096
 END_ID = 2
 #: Distinct pieces of text that a worker keeps: of those seen again, and of new ones.
 KNOWN, YOUNG = 500_000, 500_000
-_PIECE = re.compile(r"[ \n]*[^\W_]++|[ \n]*[^ \n]+|[ \n]+")
+#: Bytes of text that are cut together.
+GROUP = 3 << 20
+#: New pieces that are encoded together.
+TOGETHER = 2000
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _ASCII_SPACE = [c for c in _OTHER_SPACE if c.isascii()]
+# Bytes: 1 blank or line end, 2 ASCII letter or digit, 3 other visible ASCII, 0 the rest.
+_KIND = np.array([1 if c in b" \n" else 2 if chr(c).isalnum() and c < 128 else 3 if 32 < c < 127 else 0 for c in range(256)], np.uint8)
 
 
 def width_of(vocabulary: int) -> int:
@@ -85,13 +89,14 @@ class Encoder:
     """Ids of whole texts, as uint32.
 
     The tokenizer splits a text into words before anything else.  A word never
-    goes on past letters or digits into other signs, nor past a visible character
-    into a blank or line end; a text is cut there, and a piece is encoded by the
-    tokenizers library when it is new.  A text with other white space is encoded
-    uncut.
-
-    Pieces that have been seen once wait among the ``young``; only those that are
-    seen again are ``known``, as most distinct pieces occur once.
+    goes on past a letter or digit into other signs, nor past a visible character
+    into a blank or line end, so texts are cut there; the pieces are told apart by
+    vectorised hashes, which are checked byte by byte, and each piece that is new
+    is encoded by the tokenizers library.  A text with other white space, or with
+    the string of a special token, is encoded uncut.
+
+    Pieces that have been seen in one group of texts wait among the ``young``;
+    those seen again are ``known``, as most distinct pieces occur once.
     """
 
     def __init__(self, path: str):
@@ -100,40 +105,113 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE)):
-            return self._encoded([text])[0]
-        pieces = _PIECE.findall(text)
-        got = list(map(self.known.get, pieces))
-        missing = [i for i, x in enumerate(got) if x is None]
-        if missing:
-            again, fresh, young, known = {}, {}, self.young, self.known
-            for i in missing:
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes_of = np.zeros(self.vocabulary, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            # A byte-level token has a character for each byte.
+            self.bytes_of[i] = len(token)
+        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+
+    def many(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(index, ids) of all texts, not in order."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                yield i, np.zeros(0, np.uint32)
+            elif self._uncut(text):
+                yield i, self._whole(text)
+            else:
+                data = text.encode("utf-8", "surrogatepass")
+                held.append((i, data))
+                size += len(data)
+                if size >= GROUP:
+                    yield from self._group(held)
+                    held, size = [], 0
+        if held:
+            yield from self._group(held)
+
+    def _uncut(self, text: str) -> bool:
+        return any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE)) or any(x in text for x in self.special)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _group(self, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
+        data = b"".join(x for _, x in held)
+        raw = np.frombuffer(data, np.uint8)
+        kinds = _KIND[raw]
+        cut = np.empty(len(raw), bool)
+        cut[1:] = (kinds[1:] == 1) & (kinds[:-1] != 1) | (kinds[1:] == 3) & (kinds[:-1] == 2)
+        ends = np.cumsum([len(x) for _, x in held])
+        cut[[0, *ends[:-1]]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(raw))
+        h = slice_hashes(raw.astype(np.uint64) + np.uint64(1), start, end)
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        lengths = end - start
+        same = np.array_equal(lengths, lengths[first][which]) and np.array_equal(raw, raw[np.repeat(start[first][which] - start, lengths) + np.arange(len(raw))])
+        if not same:  # two pieces have one hash
+            for i, x in held:
+                yield i, self._whole(x.decode("utf-8", "surrogatepass"))
+            return
+        found = self._looked_up([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(sizes) - sizes
+        own = sizes[which]
+        upto = np.cumsum(own)
+        ids = flat[np.repeat(begin[which] - (upto - own), own) + np.arange(upto[-1])]
+        last = upto[np.searchsorted(start, ends) - 1]
+        for (i, _), a, b in zip(held, [0, *last], last):
+            yield i, ids[a:b]
+
+    def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, as bytes."""
+        young, known = self.young, self.known
+        got = list(map(known.get, pieces))
+        fresh = []
+        for i, x in enumerate(got):
+            if x is None:
                 p = pieces[i]
-                if p in young:
-                    again[p] = young.pop(p)
-                elif p not in again:
-                    fresh[p] = b""
-            for p, x in zip(fresh, self._encoded(list(fresh))):
-                fresh[p] = x
-            if len(known) + len(again) > KNOWN:
-                known.clear()
-            known.update(again)
-            if len(young) + len(fresh) > YOUNG:
-                young.clear()
-            young.update(fresh)
-            for i in missing:
-                p = pieces[i]
-                got[i] = fresh[p] if p in fresh else again[p]
-        return b"".join(got)
+                x = young.pop(p, None)
+                if x is None:
+                    fresh.append(i)
+                else:
+                    got[i] = known[p] = x
+        for i, x in zip(fresh, self._encoded([pieces[i] for i in fresh])):
+            got[i] = x
+        if len(known) > KNOWN:
+            known.clear()
+        if len(young) + len(fresh) > YOUNG:
+            young.clear()
+        young.update((pieces[i], got[i]) for i in fresh)
+        return got
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of new pieces.  They are encoded many at a time, with a line end
+        after each, and told apart by the bytes that the ids stand for."""
+        out: list[bytes] = []
+        for a in range(0, len(pieces), TOGETHER):
+            some = pieces[a : a + TOGETHER]
+            # A line end would join white space at the beginning of a piece, but for one blank.
+            plain = [p for p in some if p[0] != 10 and p[:2] not in (b"  ", b" \n", b" ")]
+            joined = b"\n".join([*plain, b""])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined.decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, np.uint32) if plain else np.zeros(0, np.uint32)
+            until = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(p) + 1 for p in plain]) if plain else np.zeros(0, np.int64)
+            # The id of each line end, which must end where the line end does.
+            last = np.searchsorted(until, ends)
+            if len(plain) and (last[-1] != len(ids) - 1 or not np.array_equal(until[last], ends) or (self.bytes_of[ids[last]] != 1).any()):
+                plain, last = [], last[:0]
+            first = np.concatenate(([0], last[:-1] + 1)) if len(plain) else last
+            data = ids.astype("<u4").tobytes()
+            made = {p: data[4 * x : 4 * y] for p, x, y in zip(plain, first.tolist(), last.tolist())}
+            out += [made[p] if p in made else self._whole(p.decode("utf-8", "surrogatepass")).astype("<u4").tobytes() for p in some]
+        return out
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def __call__(self, text: str | None) -> bytes:
+        return next(self.many([text]))[1].astype("<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -238,9 +316,12 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        made, end = encoder(tokenizer_path), np.array([end_id], narrow).tobytes()
         for texts in batches:
-            yield pd.Series([np.frombuffer(made(t) + end, "<u4").astype(narrow).tobytes() for t in texts], dtype=object)
+            out = [b""] * len(texts)
+            for i, ids in made.many(list(texts)):
+                out[i] = ids.astype(narrow).tobytes() + end
+            yield pd.Series(out, dtype=object)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _opened(folder)

@@ -220,6 +220,8 @@ def test_encoder_equals_the_tokenizer():
     for _ in range(2):
         for text, want in zip(odd, whole_ids(odd)):
             assert np.frombuffer(made(text), "<u4").tolist() == want[:-1], repr(text)
+    got = dict(made.many(odd * 3))
+    assert [got[i].tolist() for i in range(len(odd) * 3)] == [x[:-1] for x in whole_ids(odd)] * 3
 
 
 def check_tokens(got, ordered):
