@@ -1,0 +1,151 @@
+"""The FASTQ source and sinks, reports, commands and streams."""
+
+import gzip
+import io
+import os
+from collections import Counter
+
+import pytest
+
+from strandloom.operators import signature
+from strandloom.plans import commands
+from strandloom.sources import fastq, signature_file
+from strandloom.spec import FilterSpec, StatsSpec, TrimSpec
+from strandloom.streaming import counters
+from test_reads import GOLDEN, SCHEMA
+
+ODD = [("a 1", "ACGT", "@+@+"), ("b", "A", "@"), ("c", "", ""), ("@d", "GGGG", "+@@@"), ("e", "ACGTACGT", "IIII@III")]
+
+
+def text(records, end="\n", plus=""):
+    return "".join(f"@{i}{end}{s}{end}+{plus}{end}{q}{end}" for i, s, q in records).encode()
+
+
+def read(data, start=0, end=None, **options):
+    return list(fastq.records(io.BufferedReader(io.BytesIO(data)), start, end, **options))
+
+
+@pytest.mark.parametrize("data", [text(ODD), text(ODD, "\r\n"), text(ODD)[:-1], text(ODD, plus="same"), text(ODD) + b"\n\n"])
+def test_every_split(data):
+    assert read(data) == ODD
+    for cut in range(1, len(data)):
+        assert read(data, 0, cut) + read(data, cut, len(data)) == ODD, cut
+
+
+def test_many_small_splits():
+    data = text(ODD * 5)
+    for size in (1, 3, 17):
+        assert [r for a in range(0, len(data), size) for r in read(data, a, a + size)] == ODD * 5
+
+
+def test_odd_files():
+    assert read(b"") == []
+    assert read(b"@x\n\n+\n") == [("x", "", "")]
+    assert read(b"@m\nAC\nGT\n+\n@I\nII\n@n\nA\n+\nI\n", multiline=True) == [("m", "ACGT", "@III"), ("n", "A", "I")]
+    for bad in (b"x\nA\n+\nI\n", b"@x\nA\nI\nI\n", b"@x\nAA\n+\nI\n", b"@x\nA\n"):
+        with pytest.raises(ValueError):
+            read(bad)
+    with pytest.raises(ValueError):
+        read(b"@m\nACGT\n+\nIII\n", multiline=True)
+
+
+def test_source(spark, tmp_path):
+    (tmp_path / "a.fq").write_bytes(text(ODD * 20))
+    (tmp_path / "b.fastq.gz").write_bytes(gzip.compress(text(GOLDEN)))
+    (tmp_path / "_log").write_bytes(b"no reads")
+    want = Counter(ODD * 20 + GOLDEN)
+    for options in ({}, {"splitBytes": 50, "batchSize": 3}):
+        df = fastq.read_fastq(spark, str(tmp_path), **options)
+        assert Counter(tuple(r) for r in df.collect()) == want
+    assert fastq.read_fastq(spark, str(tmp_path / "a.fq"), splitBytes=50).rdd.getNumPartitions() > 5
+    (tmp_path / "empty").mkdir()
+    assert fastq.read_fastq(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_paired(spark, tmp_path):
+    (tmp_path / "1.fq").write_bytes(text([("x/1", "A", "I"), ("y/1 k", "C", "I")]))
+    (tmp_path / "2.fq").write_bytes(text([("y/2", "G", "I"), ("x/2", "T", "I"), ("z/2", "A", "I")]))
+    paired = fastq.read_paired(spark, str(tmp_path / "1.fq"), str(tmp_path / "2.fq"))
+    assert paired.count() == 5
+    got = {(r["pair_id"], r["mate1"]["sequence"], r["mate2"]["sequence"]) for r in fastq.mates(paired).collect()}
+    assert got == {("x", "A", "T"), ("y", "C", "G")}
+
+
+def test_writer(spark, tmp_path):
+    fastq.register(spark)
+    df = spark.createDataFrame(GOLDEN, SCHEMA).repartition(3)
+    path = str(tmp_path / "out")
+    df.write.format("fastq").mode("append").save(path)
+    df.write.format("fastq").mode("append").save(path)
+    assert Counter(tuple(r) for r in fastq.read_fastq(spark, path).collect()) == Counter(GOLDEN * 2)
+    df.write.format("fastq").mode("overwrite").save(path)
+    assert Counter(tuple(r) for r in fastq.read_fastq(spark, path).collect()) == Counter(GOLDEN)
+    assert not os.path.exists(f"{path}/_pending")
+
+
+def test_commands(spark, tmp_path):
+    source = tmp_path / "in.fq"
+    source.write_bytes(text(GOLDEN))
+    out = str(tmp_path / "new" / "filter")
+    assert vars(commands.run_filter(spark, str(source), out, FilterSpec(max_n=1))) == {"passed": 5, "failed": 1, "edited": 0}
+    assert read(open(f"{out}/passed.fq", "rb").read()) == [r for r in GOLDEN if r[0] != "r2"] and read(open(f"{out}/failed.fq", "rb").read()) == [GOLDEN[1]]
+    out = str(tmp_path / "edit")
+    trim = TrimSpec(3, 20, 41, 3, 20, 41)
+    assert vars(commands.run_edit(spark, str(source), out, trim)) == {"passed": 6, "failed": 0, "edited": 2}
+    assert sorted(os.listdir(out)) == ["edit.fq"]
+    assert vars(commands.run_edit(spark, str(source), out, trim, FilterSpec(max_length=9)))["failed"] == 3
+    assert sorted(os.listdir(out)) == ["edit.fq", "failed.fq"]
+    with pytest.raises(ValueError):
+        commands.run_filter(spark, str(source), out, FilterSpec())
+
+
+def test_report(spark, tmp_path):
+    source = tmp_path / "in.fq"
+    source.write_bytes(text(GOLDEN))
+    found = commands.run_stats(spark, str(source), str(tmp_path / "r"), StatsSpec(FilterSpec(max_n=1), kmers=True))
+    assert found.summary["num_reads"] == 5 and found.summary["num_failed"] == 1 and found.summary["processed_pct"] == pytest.approx(500 / 6)
+    names = {os.path.basename(f) for f in found.files}
+    assert {"in.fq.summary.txt", "in.fq.length.histogram.data", "in.fq.kmers.txt", "in.fq.kmers.per.nt.data", "in.fq.GC.per.nt.data.gnuplot"} <= names
+    assert open(f"{tmp_path}/r/in.fq.kmers.txt").read().split("\n")[:2] == ["kmer\tcount", "TTTTT\t8"]
+    assert "5\t1" in open(f"{tmp_path}/r/in.fq.length.histogram.data").read()
+    assert not any(f.endswith(".png") for f in os.listdir(tmp_path / "r"))
+
+
+def test_command_line():
+    args = commands.parser().parse_args("edit -f x --left-length 3 --left-quality-range 20,41 --max-out-of-quality 4 --read-length-range ,90 --quality-encoding phred64".split())
+    keep, trim = commands.specs(args)
+    assert (keep.max_length, keep.max_out_of_quality, keep.phred_base, trim.min_left_quality) == (90, 4, 64, 20) and trim.trims_left()
+    with pytest.raises(SystemExit):
+        commands.parser().parse_args(["stats"])
+
+
+def test_signature_file(spark, tmp_path):
+    cells = [(0, 1, 5), (3, 3, 7)]
+    data = signature_file.encode("some", 2, cells)
+    assert len(data) == 196 + 64
+    name, k, words, square = signature_file.decode(data)
+    assert (name, k, words, square[3, 3]) == ("some", 2, 12, 7)
+    (tmp_path / "x.gs").write_bytes(data)
+    got = signature_file.read_signature(spark, str(tmp_path / "x.gs")).drop("path").collect()
+    assert {tuple(r) for r in got} == {(12, 0, 1, 5), (12, 3, 3, 7)}
+    with pytest.raises(ValueError):
+        signature_file.decode(data[:-1])
+    df = spark.createDataFrame(cells, "x int, y int, n long")
+    image = signature_file.pgm([tuple(r) for r in signature.pixels(df, 2).collect()])
+    assert image.startswith(b"P5\n128 128\n255\n") and len(image) == 15 + 128 * 128
+
+
+def test_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.fq").write_bytes(text(GOLDEN))
+    stream = counters.stream_fastq(spark, str(folder))
+    query = counters.status_counts(stream, FilterSpec(max_n=1)).writeStream.format("memory").queryName("status_now").outputMode("complete").start()
+    try:
+        query.processAllAvailable()
+        assert dict(tuple(r) for r in spark.table("status_now").collect()) == {"passed": 5, "failed": 1}
+        (folder / "2.fq").write_bytes(text(GOLDEN[:3]))
+        query.processAllAvailable()
+        assert dict(tuple(r) for r in spark.table("status_now").collect()) == {"passed": 7, "failed": 2}
+    finally:
+        query.stop()
