@@ -45,9 +45,9 @@ MAGIC = b"FWBP1\0\0\0"
 BLOCK = 4096
 END_ID = 2
 #: Distinct pieces of text that a worker keeps: of those seen again, and of new ones.
-KNOWN, YOUNG = 350_000, 300_000
+KNOWN, YOUNG = 200_000, 100_000
 #: Bytes of text that are cut together.
-GROUP = 2 << 20
+GROUP = 1 << 20
 #: New pieces that are encoded together.
 TOGETHER = 2000
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
