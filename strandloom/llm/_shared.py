@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_ROOT["dir"]
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python workers in smaller batches than Spark's default of
+    10000 rows, which for texts takes hundreds of MB.  A session that sets its own
+    number keeps it; Spark's bound in bytes holds as well."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(rows))
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 

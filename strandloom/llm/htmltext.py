@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm._shared import short_batches
+
 #: Frequent words of the languages that are told from lists of names and links.
 STOP_WORDS = frozenset(
     "the of and to in is that it for as with was be by on are this an at from or not have has which a"
@@ -216,4 +218,5 @@ def main_text(page: Column) -> Column:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
+    short_batches(pages.sparkSession)
     return pages.select("page_id", "url", main_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm._shared import short_batches
+
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SCALE = 1 << 16
@@ -119,7 +121,7 @@ def fit(docs: DataFrame, rows_per_language: int = 20_000, max_languages: int = 2
     are taken by a hash of their ids with such a probability that this many are
     expected.  ``max_languages`` bounds the matrix; more is an error.
     """
-    spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     found = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect())
     if len(found) > max_languages:
@@ -155,6 +157,7 @@ def fit(docs: DataFrame, rows_per_language: int = 20_000, max_languages: int = 2
 
 def predictor(spark, model: LanguageModel):
     """Column function: text -> struct(lang_pred, score)."""
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import slice_hashes
+from strandloom.llm._shared import short_batches, slice_hashes
 
 REACH, DIM, HIDDEN = 2, 16, 32
 CLASSES, PER_CLASS, RARE = 32, 32, 64
@@ -262,6 +262,7 @@ def train(docs: DataFrame, table: np.ndarray, rounds: int = ROUNDS) -> Network:
 def score(docs: DataFrame, table: np.ndarray | None = None, net: Network | None = None) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_prob and pseudo_perplexity."""
     spark = docs.sparkSession
+    short_batches(spark)
     table = vocabulary(docs) if table is None else table
     net = train(docs, table) if net is None else net
     shared = spark.sparkContext.broadcast((table, net.flat))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import materialize
+from strandloom.llm._shared import materialize, short_batches
 
 SHINGLE = 4
 SEED = 42
@@ -290,6 +290,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every document."""
+    short_batches(docs.sparkSession)
     rows = materialize(docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(least))

@@ -39,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import RangeBuckets, slice_hashes, work_path
+from strandloom.llm._shared import RangeBuckets, short_batches, slice_hashes, work_path
 
 MAGIC = b"FWBP1\0\0\0"
 BLOCK = 4096
@@ -310,6 +310,7 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, rows_each: int = 250) -> list[tuple[int, str, int, int]]:
     """Encode ``docs`` and write the files.  Returns (part, path, documents, ids)
     of each file in ascending order; there are 1024 at most."""
+    short_batches(docs.sparkSession)
     ranges = RangeBuckets.of(docs, "doc_id", rows_each)
     width = width_of(Encoder(tokenizer_path).vocabulary)
     narrow = "<u2" if width <= 16 else "<u4"
