@@ -43,11 +43,13 @@ from strandloom.llm._shared import RangeBuckets, short_batches, slice_hashes, wo
 
 MAGIC = b"FWBP1\0\0\0"
 BLOCK = 4096
+#: Blocks that a writer packs together.
+BLOCKS_AT_ONCE = 64
 END_ID = 2
 #: Distinct pieces of text that a worker keeps: of those seen again, and of new ones.
-KNOWN, YOUNG = 200_000, 100_000
+KNOWN, YOUNG = 400_000, 300_000
 #: Bytes of text that are cut together.
-GROUP = 1 << 20
+GROUP = 3 << 20
 #: New pieces that are encoded together.
 TOGETHER = 2000
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -225,7 +227,7 @@ def encoder(path: str) -> Encoder:
 
 
 class FileWriter:
-    """Streams one file: a block is written when it is full."""
+    """Streams one file: some blocks are written when they are full."""
 
     def __init__(self, out, width: int):
         self.out, self.width = out, width
@@ -239,16 +241,16 @@ class FileWriter:
         self.first.append(self.first[-1] + len(ids))
         self.waiting.append(ids)
         self.held += len(ids)
-        if self.held >= BLOCK:
+        if self.held >= BLOCK * BLOCKS_AT_ONCE:
             self._write(self.held // BLOCK * BLOCK)
 
     def _write(self, n: int) -> None:
         ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32)
-        for a in range(0, n, BLOCK):
-            data = pack(ids[a : min(n, a + BLOCK)], self.width)
-            self.blocks.append(self.at)
-            self.out.write(data)
-            self.at += len(data)
+        # A block is a whole number of words, so blocks packed together are blocks.
+        data = pack(ids[:n], self.width)
+        self.blocks += range(self.at, self.at + len(data), BLOCK // 8 * self.width)
+        self.out.write(data)
+        self.at += len(data)
         self.waiting, self.held = [ids[n:]], len(ids) - n
 
     def close(self) -> None:

@@ -243,9 +243,12 @@ def test_tokenbin_awkward(spark):
     assert tokenbin.tokenised(empty(spark), tokenbin.default_tokenizer()).count() == 0
 
 
-def test_file_random_access(tmp_path):
+@pytest.mark.parametrize("at_once", [1, 64])
+def test_file_random_access(tmp_path, at_once, monkeypatch):
     from pyarrow import fs
 
+    monkeypatch.setattr(tokenbin, "BLOCKS_AT_ONCE", at_once)
+
     r, files = np.random.default_rng(3), fs.LocalFileSystem()
     docs = [(i, r.integers(0, 50_000, n, dtype=np.uint32)) for i, n in enumerate([0, 1, 9000, 4096, 3])]
     writer = tokenbin.FileWriter(files.open_output_stream(str(tmp_path / "x")), 16)
