@@ -36,8 +36,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed ids, written and read again."""
-    return tokenbin.tokenised(docs, tokenbin.default_tokenizer())
+    """Packed ids, written and read again.  Workers have other stages' memory as
+    well, so they keep fewer pieces of text than by default."""
+    return tokenbin.tokenised(docs, tokenbin.default_tokenizer(), pieces=120_000)
 
 
 STAGES = [

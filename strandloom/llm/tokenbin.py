@@ -46,10 +46,11 @@ BLOCK = 4096
 #: Blocks that a writer packs together.
 BLOCKS_AT_ONCE = 64
 END_ID = 2
-#: Distinct pieces of text that a worker keeps: of those seen again, and of new ones.
-KNOWN, YOUNG = 400_000, 300_000
-#: Bytes of text that are cut together.
-GROUP = 3 << 20
+#: Distinct pieces of text seen again that a worker keeps, and three quarters as many
+#: new ones.  More take memory, fewer take time.
+PIECES = 400_000
+#: Bytes of text that are cut together, for each piece that is kept.
+GROUP = 8
 #: New pieces that are encoded together.
 TOGETHER = 2000
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -101,11 +102,12 @@ class Encoder:
     those seen again are ``known``, as most distinct pieces occur once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = pieces
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes_of = np.zeros(self.vocabulary, np.int64)
@@ -127,7 +129,7 @@ class Encoder:
                 data = text.encode("utf-8", "surrogatepass")
                 held.append((i, data))
                 size += len(data)
-                if size >= GROUP:
+                if size >= GROUP * self.pieces:
                     yield from self._group(held)
                     held, size = [], 0
         if held:
@@ -183,9 +185,9 @@ class Encoder:
                     got[i] = known[p] = x
         for i, x in zip(fresh, self._encoded([pieces[i] for i in fresh])):
             got[i] = x
-        if len(known) > KNOWN:
+        if len(known) > self.pieces:
             known.clear()
-        if len(young) + len(fresh) > YOUNG:
+        if len(young) + len(fresh) > self.pieces * 3 // 4:
             young.clear()
         young.update((pieces[i], got[i]) for i in fresh)
         return got
@@ -216,14 +218,15 @@ class Encoder:
         return next(self.many([text]))[1].astype("<u4").tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = PIECES) -> Encoder:
     """One for each worker process; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, pieces
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 class FileWriter:
@@ -309,7 +312,7 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, rows_each: int = 250) -> list[tuple[int, str, int, int]]:
+def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, rows_each: int = 250, pieces: int = PIECES) -> list[tuple[int, str, int, int]]:
     """Encode ``docs`` and write the files.  Returns (part, path, documents, ids)
     of each file in ascending order; there are 1024 at most."""
     short_batches(docs.sparkSession)
@@ -319,7 +322,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made, end = encoder(tokenizer_path), np.array([end_id], narrow).tobytes()
+        made, end = encoder(tokenizer_path, pieces), np.array([end_id], narrow).tobytes()
         for texts in batches:
             out = [b""] * len(texts)
             for i, ids in made.many(list(texts)):
@@ -377,10 +380,10 @@ def read(spark: SparkSession, files: list[tuple[int, str, int, int]], folder: st
     return listed.mapInArrow(scan, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, pieces: int = PIECES) -> DataFrame:
     spark = docs.sparkSession
     folder = work_path(spark, "ids")
-    return read(spark, write(docs, tokenizer_path, folder), folder)
+    return read(spark, write(docs, tokenizer_path, folder, pieces=pieces), folder)
 
 
 def default_tokenizer() -> str:
