@@ -58,3 +58,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN found USING (doc_id) LEFT JOIN covered USING (doc_id)
 """
+
+OP2_MERKLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), pairs AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text FROM d
+  WINDOW o AS (ORDER BY doc_id NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), rows_ AS (
+  SELECT *, substr(text, 1, length(text) - length(text) // 4) || substr(next_text, 1, length(text) // 4) AS edited FROM pairs
+), texts AS (
+  SELECT text FROM rows_ UNION SELECT edited FROM rows_
+), cut AS (
+  -- A section begins with the text or with the second of two line ends in a row.
+  SELECT text, [[[sha256(b) FOR b IN regexp_extract_all(p, '(?s).{1,64}')] FOR p IN string_split(s, chr(10))]
+    FOR s IN CASE WHEN text = '' THEN [''] ELSE [x FOR x IN regexp_extract_all(text, '\n?(?:[^\n]+\n)*[^\n]*') IF x <> ''] END] AS tree
+  FROM texts
+), paragraphs AS (
+  SELECT text, [[{'h': sha256('P' || coalesce(array_to_string(p, ''), '')), 'c': p} FOR p IN s] FOR s IN tree] AS tree FROM cut
+), sections AS (
+  SELECT text, [{'h': sha256('S' || array_to_string([p.h FOR p IN s], '')), 'c': s} FOR s IN tree] AS tree FROM paragraphs
+), prints AS (
+  SELECT text, sha256('D' || array_to_string([s.h FOR s IN tree], '')) AS root,
+    array_to_string(flatten([list_concat(['S' || substr(s.h, 1, 10)],
+      flatten([list_concat(['P' || substr(p.h, 1, 10)], ['L' || substr(b, 1, 10) FOR b IN p.c]) FOR p IN s.c])) FOR s IN tree]), ' ') AS nodes,
+    list_distinct(flatten([flatten([[substr(b, 1, 10) FOR b IN p.c] FOR p IN s.c]) FOR s IN tree])) AS leaves
+  FROM sections
+), met AS (
+  SELECT r.doc_id, length(r.text) AS n_chars, sha256(r.edited) AS edited_sha256, a.root || ' ' || a.nodes AS fingerprint,
+    e.root || ' ' || e.nodes AS edited_fingerprint, a.root AS own_root, e.root AS edited_root, x.root AS next_root,
+    len(a.leaves) AS n_own, len(e.leaves) AS n_edited, len(x.leaves) AS n_next,
+    len(list_intersect(a.leaves, e.leaves)) AS both_edited, len(list_intersect(a.leaves, x.leaves)) AS both_next
+  FROM rows_ r JOIN prints a ON r.text = a.text JOIN prints e ON r.edited = e.text JOIN prints x ON r.next_text = x.text
+)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN own_root = edited_root THEN 1.0::DOUBLE WHEN n_own + n_edited = 0 THEN 0.0::DOUBLE
+       ELSE both_edited::DOUBLE / (n_own + n_edited - both_edited) END AS near_edited,
+  CASE WHEN own_root = next_root THEN 1.0::DOUBLE WHEN n_own + n_next = 0 THEN 0.0::DOUBLE
+       ELSE both_next::DOUBLE / (n_own + n_next - both_next) END AS near_next
+FROM met
+"""
