@@ -205,6 +205,11 @@ def _documents(groups: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray,
     return ids, bounds, lengths
 
 
+def _of_fan(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.set_column(1, "fan", pa.array([fan] * batch.num_rows, pa.int32()))
+
+
 def train(docs: DataFrame, table: np.ndarray, rounds: int = ROUNDS) -> Network:
     spark = docs.sparkSession
     net = Network.fresh()
@@ -246,12 +251,20 @@ def train(docs: DataFrame, table: np.ndarray, rounds: int = ROUNDS) -> Network:
                 fan = TaskContext.get().partitionId() % FAN
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array([fan] * len(data), pa.int32()), pa.array([n] * len(data), pa.int64()), pa.array(data, pa.binary())], ["slice", "fan", "n", "data"])
 
-        def add(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, "<f8") for x in rows["data"])
-            return pd.DataFrame({"slice": rows["slice"].iloc[:1], "fan": rows["fan"].iloc[:1], "n": [rows["n"].sum()], "data": [total.tobytes()]})
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # One sum for each slice and fan that this task has, whatever the number of rows.
+            sums: dict[tuple[int, int], list] = {}
+            for batch in batches:
+                for s, f, n, data in zip(*(batch.column(c).to_pylist() for c in ("slice", "fan", "n", "data"))):
+                    held = sums.setdefault((s, f), [0, 0.0])
+                    held[0] += n
+                    held[1] = held[1] + np.frombuffer(data, "<f8")
+            cols = [[s for s, _ in sums], [f for _, f in sums], [n for n, _ in sums.values()], [x.tobytes() for _, x in sums.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["slice", "fan", "n", "data"])
 
         schema = "slice int, fan int, n bigint, data binary"
-        parts = docs.select("text").mapInArrow(learn, schema).groupBy("slice", "fan").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+        parts = docs.select("text").mapInArrow(learn, schema).repartition("slice", "fan").mapInArrow(add, schema)
+        parts = parts.repartition("slice").mapInArrow(lambda batches, add=add: add(_of_fan(batches, 0)), schema)
         rows = sorted((r["slice"], r["n"], bytes(r["data"])) for r in parts.collect())
         if not rows:
             break
