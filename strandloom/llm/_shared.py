@@ -60,20 +60,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 class RangeBuckets:
     """Ascending ranges of an integer key, each beginning at a key that occurs.
 
-    ``bounds`` has at most ``limit`` keys whatever the size of the table, so it
-    may travel in the plan.
+    There are up to ``FEW`` ranges of ``rows_each`` rows; a table that would have
+    more than ``ROWS_MOST`` rows in each of so few gets more ranges, ``MOST`` at
+    most.  So the bounds, 8 bytes each, may travel in the plan.
     """
 
+    FEW, MOST, ROWS_MOST = 1 << 10, 1 << 16, 100_000
+
     bounds: tuple[int, ...]
 
-    @staticmethod
-    def of(df: DataFrame, key: str, rows_each: int, limit: int = 1024) -> RangeBuckets:
-        """One pass over ``key`` alone."""
+    @classmethod
+    def count(cls, rows: int, rows_each: int) -> int:
+        return max(1, min(cls.FEW, rows // rows_each), min(cls.MOST, rows // cls.ROWS_MOST))
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, rows_each: int) -> RangeBuckets:
+        """Two passes over ``key`` alone."""
         n = df.agg(F.count(key)).first()[0]
-        count = max(1, min(limit, n // rows_each))
-        shares = [i / count for i in range(count)]
-        found = df.agg(F.percentile_approx(key, shares, 10 * limit).alias("q"), F.min(key).alias("m")).first()
-        return RangeBuckets(tuple(sorted({found["m"], *found["q"]})) if n else ())
+        if not n:
+            return cls(())
+        count = cls.count(n, rows_each)
+        # As text, the plan has one literal whatever the number.
+        shares = F.expr("cast(split('" + ",".join(str(i / count) for i in range(count)) + "', ',') as array<double>)")
+        found = df.agg(F.percentile_approx(key, shares, 10 * max(cls.FEW, count)).alias("q"), F.min(key).alias("m")).first()
+        return cls(tuple(sorted({found["m"], *found["q"]})))
+
+    def _listed(self, bounds: tuple[int, ...]) -> Column:
+        return F.expr("cast(split('" + ",".join(map(str, bounds)) + "', ',') as array<bigint>)")
 
     def index(self, key: Column) -> Column:
         """The bucket of a key, from 0; a null key is in the first.  Two short
@@ -81,15 +94,18 @@ class RangeBuckets:
         if len(self.bounds) < 2:
             return F.lit(0)
         width = max(1, int(len(self.bounds) ** 0.5))
-        parts = [self.bounds[i : i + width] for i in range(0, len(self.bounds), width)]
-        longs = lambda xs: "array(" + ",".join(f"cast({x} as bigint)" for x in xs) + ")"
-        heads = F.expr(longs(p[0] for p in parts))
-        nested = F.expr("array(" + ",".join(longs(p) for p in parts) + ")")
         k = key.cast("bigint")
-        at = F.greatest(F.size(F.filter(heads, lambda x: x <= k)), F.lit(1))
-        within = F.size(F.filter(F.element_at(nested, at), lambda x: x <= k))
+        at = F.greatest(F.size(F.filter(self._listed(self.bounds[::width]), lambda x: x <= k)), F.lit(1))
+        near = F.slice(self._listed(self.bounds), (at - 1) * width + 1, F.lit(width))
+        within = F.size(F.filter(near, lambda x: x <= k))
         return F.coalesce(F.greatest((at - 1) * width + within - 1, F.lit(0)), F.lit(0))
 
+    def begins(self, key: Column, index: Column) -> Column:
+        """Whether a key is the one that its bucket begins at."""
+        if not self.bounds:
+            return F.lit(False)
+        return F.coalesce(F.get(self._listed(self.bounds), index) == key, F.lit(False))
+
 
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}

@@ -80,7 +80,7 @@ def with_next(docs: DataFrame, rows_each: int = 250) -> DataFrame:
     ranges = RangeBuckets.of(docs, "doc_id", rows_each)
     n = max(1, len(ranges.bounds))
     # A null id precedes all others, so what follows the last row is a null id if there is one.
-    first = F.col("doc_id").isNull() | F.coalesce(F.col("doc_id").isin(*ranges.bounds), F.lit(False))
+    first = F.col("doc_id").isNull() | ranges.begins(F.col("doc_id"), F.col("part"))
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", ranges.index(F.col("doc_id")))
     own = F.struct(F.col("part").alias("p"), F.lit(0).alias("c"))
     ahead = F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("p"), F.lit(1).alias("c"))

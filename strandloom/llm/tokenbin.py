@@ -314,7 +314,7 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, rows_each: int = 250, pieces: int = PIECES) -> list[tuple[int, str, int, int]]:
     """Encode ``docs`` and write the files.  Returns (part, path, documents, ids)
-    of each file in ascending order; there are 1024 at most."""
+    of each file in ascending order, one for each range of ids."""
     short_batches(docs.sparkSession)
     ranges = RangeBuckets.of(docs, "doc_id", rows_each)
     width = width_of(Encoder(tokenizer_path).vocabulary)

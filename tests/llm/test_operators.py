@@ -11,6 +11,8 @@ import pytest
 import xxhash
 
 from helpers import DOC_SCHEMA, awkward, awkward_rows, words
+from pyspark.sql.functions import col as spark_col
+
 from strandloom.llm import decontam, htmltext, langid, lmscore, merkle, mixing, pii, queries, ring, simhash, tokenbin
 from strandloom.llm._shared import RangeBuckets
 
@@ -130,7 +132,7 @@ def test_merkle(spark, sf_dir, texts):
 @pytest.mark.parametrize("rows_each", [1, 2, 250])
 def test_merkle_awkward_and_ranges(spark, rows_each, monkeypatch):
     plain = RangeBuckets.of
-    monkeypatch.setattr(RangeBuckets, "of", staticmethod(lambda df, key, each, limit=1024: plain(df, key, rows_each, limit)))
+    monkeypatch.setattr(RangeBuckets, "of", staticmethod(lambda df, key, each: plain(df, key, rows_each)))
     ordered = sorted(((r[0], r[1] or "") for r in awkward_rows()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
     check_fingerprints(merkle.fingerprints(awkward(spark)).collect(), ordered)
     assert merkle.fingerprints(empty(spark)).count() == 0
@@ -670,3 +672,21 @@ def test_lm_awkward(spark):
     assert all((r["n_tokens"], r["log_likelihood"], r["mean_log_prob"]) == (0, 0.0, None) for r in rows if r["doc_id"] in (2, 3, 9))
     assert all(r["log_likelihood"] < 0 for r in rows if r["n_tokens"])
     assert lmscore.score(empty(spark)).count() == 0
+
+
+# ranges of ids
+
+
+def test_ranges_grow_with_the_table():
+    assert [RangeBuckets.count(n, 250) for n in (0, 249, 500, 10**6, 10**8, 10**9, 10**10, 10**11)] == [1, 1, 2, 1024, 1024, 10_000, 65_536, 65_536]
+
+
+def test_ranges_give_each_key_its_bucket(spark):
+    bounds = (-50, -3, 0, 4, 5, 17, 1 << 40)
+    keys = [None, -60, -50, -49, -3, 0, 3, 4, 5, 16, 17, 18, 1 << 40, (1 << 63) - 1]
+    ranges = RangeBuckets(bounds)
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = df.select("k", ranges.index(df.k).alias("i")).select("k", "i", ranges.begins(df.k, spark_col("i")).alias("b")).collect()
+    for k, i, b in got:
+        assert i == max(0, sum(x <= k for x in bounds) - 1 if k is not None else 0)
+        assert b == (k in bounds)
