@@ -120,9 +120,12 @@ def without_spans(text: Column, hits: Column) -> Column:
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(text, F.lit(f"{word}[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"), F.lit(0))
     before = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    # Positions are from 1; hits are sorted, so the words they cover are a list of runs.
-    kept = F.transform(pieces, lambda p, i: F.when(F.exists(hits, lambda h: (h["at"] <= i + 1) & (i + 1 < h["at"] + h["width"])), F.lit("")).otherwise(p))
-    return F.trim(F.concat(before, F.array_join(kept, "")))
+    # Positions are from 1.  All steps take time in proportion to words and hits.
+    hit = F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["width"] - 1)))
+    places = lambda p: F.array_except(F.sequence(F.lit(1), F.size(p)), hit)
+    # The pieces are bound to a variable, so they are cut once and not for each place.
+    kept = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(places(p), lambda i: F.get(p, i - 1)), ""))[0]
+    return F.trim(F.concat(before, kept))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:

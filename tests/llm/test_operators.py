@@ -690,3 +690,12 @@ def test_ranges_give_each_key_its_bucket(spark):
     for k, i, b in got:
         assert i == max(0, sum(x <= k for x in bounds) - 1 if k is not None else 0)
         assert b == (k in bounds)
+
+
+def test_decontaminate_long_text_of_one_passage(spark):
+    """Time doesn't grow with the product of words and hits."""
+    item = "one two three four five six seven eight nine ten"
+    text = "Start. " + (item + ", kept words here. ") * 5000
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = decontam.decontaminate(d, spark.createDataFrame([(1, item)], "item_id long, text string")).first()["text"]
+    assert out == ("Start. " + "kept words here. " * 5000).strip()
