@@ -39,7 +39,10 @@ def mean_quality(cells: DataFrame, k: int) -> DataFrame:
 
 
 def _scale(cells: DataFrame, k: int) -> DataFrame:
-    return cells.agg((F.lit(GREY) / (F.nullif(F.sum("n"), F.lit(0)) / F.lit(float(4**k)))).alias("scale"))
+    """One row: what brings the mean cell to ``GREY``.  A signature that was read
+    from a file states its number of words."""
+    words = F.max("word_count") if "word_count" in cells.columns else F.sum("n")
+    return cells.agg((F.lit(GREY) / (F.nullif(words, F.lit(0)) / F.lit(float(4**k)))).alias("scale"))
 
 
 def difference(cells: DataFrame, reference: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The commands stats, filter and edit, and their command line."""
+"""The commands stats, filter, edit and signature, and their command line."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.operators import editing, filtering
 from strandloom.plans.report import Results, write_report
+from strandloom.plans.signatures import run_signature
 from strandloom.sources import fastq
 from strandloom.spec import FilterSpec, StatsSpec, TrimSpec, parse_range, phred_base
 
@@ -62,7 +63,7 @@ def run_edit(spark: SparkSession, path: str, outdir: str, trim: TrimSpec, spec:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandloom", description="Statistics, filters and edits of FASTQ reads")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("stats", "filter", "edit"):
+    for name in ("stats", "filter", "edit", "signature"):
         p = commands.add_parser(name)
         p.add_argument("-f", "--fastq-file", required=True)
         p.add_argument("-o", "--outdir", default=".")
@@ -71,6 +72,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--quality-encoding", default="phred33")
         if name == "stats":
             p.add_argument("--kmers", action="store_true")
+        if name == "signature":
+            p.add_argument("-k", type=int, default=7)
+            p.add_argument("--gs-filename", help="signature to compare with")
         for option in ("read-length", "read-quality", "left-quality", "right-quality"):
             p.add_argument(f"--{option}-range", type=parse_range, default=(None, None))
         for option in ("left-length", "right-length", "max-N", "max-out-of-quality"):
@@ -102,6 +106,8 @@ def main(argv: list[str] | None = None) -> int:
         found = run_stats(spark, args.fastq_file, args.outdir, StatsSpec(keep, args.kmers, phred_base=keep.phred_base), **options).summary
     elif args.command == "filter":
         found = vars(run_filter(spark, args.fastq_file, args.outdir, keep, **options))
+    elif args.command == "signature":
+        found = vars(run_signature(spark, args.fastq_file, args.outdir, args.k, args.gs_filename, keep, keep.phred_base, **options))
     else:
         found = vars(run_edit(spark, args.fastq_file, args.outdir, trim, keep, **options))
     print("\n".join(f"{k}: {v}" for k, v in found.items()))
