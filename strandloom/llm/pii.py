@@ -108,7 +108,7 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, support: int = SUPPOR
     has the support."""
     # Words that the cut may have shortened are left out.
     before = F.when(F.length("before") >= REACH, F.regexp_replace("before", r"^\S+", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") >= REACH, F.regexp_replace("after", r"\S+$", "")).otherwise(F.col("after"))
+    after = F.when(F.length("after") >= REACH, F.regexp_replace("after", r"\S+\z", "")).otherwise(F.col("after"))
     near = mentions.select("entity", F.xxhash64("before", "after").alias("context"), F.lower(F.concat_ws(" ", before, after)).alias("side"))
     near = near.select("entity", "context", F.explode(F.regexp_extract_all("side", F.lit(TERM), F.lit(0))).alias("term"))
     pairs = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))

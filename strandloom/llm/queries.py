@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_merkle": sql.OP2_MERKLE, "op6_mixing": sql.OP6_MIXING, "op9_decontam": sql.OP9_DECONTAM}
+    return {"op2_merkle": sql.OP2_MERKLE, "op5_pii": sql.OP5_PII, "op6_mixing": sql.OP6_MIXING, "op9_decontam": sql.OP9_DECONTAM}

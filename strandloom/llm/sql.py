@@ -98,3 +98,77 @@ SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, e
        ELSE both_next::DOUBLE / (n_own + n_next - both_next) END AS near_next
 FROM met
 """
+
+_PLAIN_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_FOUND = " UNION ALL ".join(
+    f"SELECT rid, '{kind}' AS kind, {i} AS ord, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM d"
+    for i, (kind, pattern) in enumerate(_PLAIN_PATTERNS.items())
+)
+
+
+def _located(found: str, partition: str) -> str:
+    """Matches of ``found`` with the text on either side and where they start."""
+    return f"""
+  SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY {partition} ORDER BY i)
+    + coalesce(sum(length(value)) OVER (PARTITION BY {partition} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT * EXCLUDE (m, p), unnest(m) AS value, unnest(p[:len(m)]) AS piece, unnest(p[2:]) AS next_piece, generate_subscripts(m, 1) AS i FROM {found} WHERE len(m) > 0)"""
+
+
+OP5_PII = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), found AS ({_FOUND}
+), placed AS ({_located("found", "rid, kind")}
+), read_ AS (
+  SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM placed
+), base AS (
+  SELECT rid, kind, ord, start, start + length(value) AS stop, right(piece, 128) AS before, left(next_piece, 128) AS after,
+    kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(value) END AS entity
+  FROM read_
+  WHERE CASE kind
+    WHEN 'ip' THEN regexp_full_match(value, '(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){{4}}')
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum([
+      CASE WHEN k % 2 = 0 THEN CAST(substr(reverse(digits), k, 1) AS INT) * 2 // 10 + CAST(substr(reverse(digits), k, 1) AS INT) * 2 % 10
+           ELSE CAST(substr(reverse(digits), k, 1) AS INT) END FOR k IN range(1, length(digits) + 1)]) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    ELSE true END
+), near AS (
+  SELECT entity, before, after, unnest(regexp_extract_all(lower(
+    CASE WHEN length(before) >= 128 THEN regexp_replace(before, '^[^ \t\n\x0B\f\r]+', '') ELSE before END || ' ' ||
+    CASE WHEN length(after) >= 128 THEN regexp_replace(after, '[^ \t\n\x0B\f\r]+\z', '') ELSE after END), '\p{{L}}{{3,}}')) AS term
+  FROM base
+), pairs AS (
+  SELECT entity, term, count(*) AS n_both, count(DISTINCT (before, after)) AS contexts, sum(count(*)) OVER (PARTITION BY entity) AS n_entity
+  FROM near GROUP BY entity, term
+), tokens AS (
+  SELECT term, count(*) AS n_term, sum(count(*)) OVER () AS total
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{{L}}{{3,}}')) AS term FROM d) GROUP BY term
+), scored AS (
+  SELECT entity, term, ln(least(1.0::DOUBLE, n_both::DOUBLE / n_term)) AS log_share, -ln(least(1.0::DOUBLE, n_entity::DOUBLE / total)) AS ic
+  FROM pairs JOIN tokens USING (term) WHERE contexts >= 3
+), disclosing AS (
+  SELECT DISTINCT b.rid, s.term FROM base b JOIN scored s USING (entity) WHERE ic > 0 AND least(1.0::DOUBLE, (log_share + ic) / ic) >= 0.8
+), words_ AS (
+  SELECT rid, regexp_extract_all(text, '\p{{L}}{{3,}}') AS m, string_split_regex(text, '\p{{L}}{{3,}}') AS p
+  FROM d WHERE rid IN (SELECT rid FROM disclosing)
+), spots AS ({_located("words_", "rid")}
+), terms AS (
+  SELECT s.rid, s.start, s.start + length(s.value) AS stop
+  FROM spots s JOIN disclosing t ON s.rid = t.rid AND lower(s.value) = t.term
+  WHERE NOT EXISTS (FROM base b WHERE b.rid = s.rid AND b.start < s.start + length(s.value) AND s.start < b.stop)
+), by_doc AS (
+  SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+    count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) AS listed
+  FROM base GROUP BY rid
+), by_term AS (
+  SELECT rid, string_agg('term:' || start || ':' || stop, ',' ORDER BY start) AS listed FROM terms GROUP BY rid
+)
+SELECT doc_id, CAST(coalesce(n_email, 0) AS BIGINT) AS n_email, CAST(coalesce(n_ip, 0) AS BIGINT) AS n_ip, CAST(coalesce(n_card, 0) AS BIGINT) AS n_card,
+  CAST(coalesce(n_phone, 0) AS BIGINT) AS n_phone, sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(concat_ws(',', b.listed, t.listed), '') AS spans
+FROM d LEFT JOIN by_doc b USING (rid) LEFT JOIN by_term t USING (rid)
+"""
