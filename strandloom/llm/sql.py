@@ -34,8 +34,8 @@ FROM placed
 """
 
 OP9_DECONTAM = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), items AS (
@@ -44,19 +44,19 @@ WITH d AS (
   SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram
   FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)
 ), places AS (
-  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram
-  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM grams) WHERE len(w) >= k)
+  SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM grams) WHERE len(w) >= k)
 ), hits AS (
-  SELECT p.doc_id, p.i, p.k, g.item_id FROM places p JOIN grams g ON p.gram = g.gram AND p.k = g.k
+  SELECT p.rid, p.i, p.k, g.item_id FROM places p JOIN grams g ON p.gram = g.gram AND p.k = g.k
 ), found AS (
-  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS listed FROM hits GROUP BY doc_id
+  SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS listed FROM hits GROUP BY rid
 ), covered AS (
-  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS spot FROM hits) GROUP BY doc_id
+  SELECT rid, count(DISTINCT spot) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS spot FROM hits) GROUP BY rid
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
        coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN found USING (doc_id) LEFT JOIN covered USING (doc_id)
+FROM d LEFT JOIN found USING (rid) LEFT JOIN covered USING (rid)
 """
 
 OP2_MERKLE = r"""
@@ -120,7 +120,7 @@ def _located(found: str, partition: str) -> str:
 
 
 OP5_PII = rf"""
-WITH d AS (
+WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), found AS ({_FOUND}
 ), placed AS ({_located("found", "rid, kind")}
