@@ -16,7 +16,7 @@ links found under a key only a spanning forest is passed on: what a task emits
 grows with its rows, not with the square of a group.  A key with more than
 ``HOT`` rows is passed on to a second stage and compared there in pairs of
 blocks over many tasks.  Groups of links become components by repeated
-contraction to the smallest neighbour, with a table written in each round.
+contraction to a neighbour, with a table written in each round.
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any
 other; texts of fewer words than a shingle are one shingle; of rows with one
@@ -263,15 +263,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that is reachable, for each node of an
     edge (a, b) that isn't itself the smallest.
 
-    In each round a node moves to its smallest neighbour, if that is smaller;
-    edges follow, and those within one node go.  What a node's move leads to is
-    found by going back through the rounds.
+    In each round a node moves to its first neighbour, if that comes before
+    itself; edges follow, and those within one node go.  What comes first is
+    drawn anew in each round (nodes are ordered by their bits, some of them
+    flipped), so a round leaves a share of the nodes whatever their values, and
+    a long path in ascending order takes no more rounds than another.  What a
+    node's move leads to is found by going back through the rounds.
     """
     moves = []
     edges = materialize(edges.where("a <> b").distinct(), "edges")
     while not edges.isEmpty():
+        flips = int(np.random.default_rng(len(moves)).integers(0, 1 << 64, dtype=np.uint64).view(np.int64))
+        place = lambda c: F.col(c).bitwiseXOR(F.lit(flips))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).where("root < node"), "moves")
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first")).where(F.col("first") < place("node"))
+        move = materialize(first.select("node", place("first").alias("root")), "moves")
         moves.append(move)
         at = lambda side: move.select(F.col("node").alias(f"n_{side}"), F.col("root").alias(f"r_{side}"))
         moved = edges.join(at("a"), F.col("a") == F.col("n_a"), "left").join(at("b"), F.col("b") == F.col("n_b"), "left")
@@ -285,7 +291,10 @@ def components(edges: DataFrame) -> DataFrame:
         later = found.select(F.col("node").alias("via"), F.col("root").alias("top"))
         here = move.join(later, F.col("root") == F.col("via"), "left").select("node", F.coalesce("top", "root").alias("root"))
         found = materialize(here.unionByName(found), "roots")
-    return found
+    # Where a group ended up is any of its nodes; its name is the smallest.
+    names = found.groupBy("root").agg(F.min("node").alias("low")).select(F.col("root").alias("top"), F.least("low", "root").alias("low"))
+    every = found.join(names, F.col("root") == F.col("top")).select("node", "low").unionByName(names.select(F.col("top").alias("node"), "low"))
+    return every.where("node <> low").select("node", F.col("low").alias("root"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -513,6 +513,17 @@ def test_components_of_long_paths(spark):
     assert got == {i: 0 for i in range(1, n)} | {1001: 1000}
 
 
+def test_components_of_an_ascending_path_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: (rounds.append(label), write(df, label))[1])
+    n = 300
+    edges = spark.createDataFrame([(i - 150, i - 149) for i in range(n - 1)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {i - 150: -150 for i in range(1, n)}
+    assert rounds.count("moves") <= 20
+
+
 def test_simhash_awkward(spark):
     rows = simhash.near_duplicates(awkward(spark)).collect()
     of = brute_components([(r[0], simhash_of(r[1])) for r in awkward_rows()])
