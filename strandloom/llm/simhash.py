@@ -259,9 +259,9 @@ def _hot_links(rows: DataFrame, hot: int) -> DataFrame:
     return paired.select(group, "key", F.col("a").alias("fp"), "probe").repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(compare, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that is reachable, for each node of an
-    edge (a, b) that isn't itself the smallest.
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(node, root): for each node of an edge (a, b) but the root itself, one
+    node of its group, the same for the whole group.
 
     In each round a node moves to its first neighbour, if that comes before
     itself; edges follow, and those within one node go.  What comes first is
@@ -291,7 +291,13 @@ def components(edges: DataFrame) -> DataFrame:
         later = found.select(F.col("node").alias("via"), F.col("root").alias("top"))
         here = move.join(later, F.col("root") == F.col("via"), "left").select("node", F.coalesce("top", "root").alias("root"))
         found = materialize(here.unionByName(found), "roots")
-    # Where a group ended up is any of its nodes; its name is the smallest.
+    return found
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that is reachable, for each node of an
+    edge (a, b) that isn't itself the smallest."""
+    found = _contracted(edges)
     names = found.groupBy("root").agg(F.min("node").alias("low")).select(F.col("root").alias("top"), F.least("low", "root").alias("low"))
     every = found.join(names, F.col("root") == F.col("top")).select("node", "low").unionByName(names.select(F.col("top").alias("node"), "low"))
     return every.where("node <> low").select("node", F.col("low").alias("root"))
@@ -302,7 +308,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     short_batches(docs.sparkSession)
     rows = materialize(docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(links(least))
+    roots = _contracted(links(least))
     # Components of fingerprints; the smallest doc_id of each is its name.
     member = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("top"))
     named = member.groupBy("top").agg(F.min("rep").alias("component_id"))
