@@ -43,6 +43,9 @@ DISTANCE = 4
 #: Bits of the five segments of the ring.
 RING = (13, 13, 13, 13, 12)
 HOT = 4096
+#: A key with more rows than this is common; so many keys may be, and beyond that
+#: only those with more than their share of all rows.
+COMMON, COMMON_KEYS = 1000, 50_000
 #: Shingles whose bits are added up together.
 PIECE = 1 << 16
 
@@ -303,17 +306,30 @@ def components(edges: DataFrame) -> DataFrame:
     return every.where("node <> low").select("node", F.col("low").alias("root"))
 
 
+def _labelled(rows: DataFrame, key: str, labels: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the ``value`` that ``labels`` has for their key.  ``labels``
+    has one row for each key, with ``n``, the number of rows that have it.  Rows
+    of common keys stay where they are: there are ``COMMON_KEYS`` such keys at
+    most, so they are broadcast.  The rest is joined by a shuffle."""
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    common = labels.where(F.col("n") > max(COMMON, total // COMMON_KEYS)).select(F.col(key).alias("_common"), F.col(value).alias("_value"))
+    marked = rows.join(F.broadcast(common), F.col(key) == F.col("_common"), "left")
+    own = marked.where("_common is not null").select(*rows.columns, F.col("_value").alias(value))
+    rest = marked.where("_common is null").select(*rows.columns)
+    return own.unionByName(rest.join(labels.select(F.col(key).alias("_key"), value), F.col(key) == F.col("_key")).select(*rows.columns, value))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every document."""
     short_batches(docs.sparkSession)
     rows = materialize(docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
-    least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
     roots = _contracted(links(least))
     # Components of fingerprints; the smallest doc_id of each is its name.
-    member = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("top"))
-    named = member.groupBy("top").agg(F.min("rep").alias("component_id"))
-    of_fp = materialize(member.join(named, "top").select(F.col("fp").alias("fp_key"), "component_id"), "components")
-    return rows.join(of_fp, F.col("fp") == F.col("fp_key")).select("doc_id", "fp", "component_id")
+    member = materialize(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("top")), "members")
+    names = materialize(member.groupBy("top").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "names")
+    of_fp = materialize(_labelled(member, "top", names, "component_id").select("fp", "n", "component_id"), "components")
+    return _labelled(rows, "fp", of_fp, "component_id").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -524,6 +524,18 @@ def test_components_of_an_ascending_path_take_few_rounds(spark, monkeypatch):
     assert rounds.count("moves") <= 20
 
 
+def test_simhash_common_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 2)
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(r.choice(words, 60)) for _ in range(20)]
+    texts += [texts[0]] * 30 + [texts[1] + f" w{i}" for i in range(8)] + [None] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = brute_components([(i, simhash_of(t)) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: of[simhash_of(t)] for i, t in enumerate(texts)}
+
+
 def test_simhash_awkward(spark):
     rows = simhash.near_duplicates(awkward(spark)).collect()
     of = brute_components([(r[0], simhash_of(r[1])) for r in awkward_rows()])
