@@ -271,7 +271,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
     drawn anew in each round (nodes are ordered by their bits, some of them
     flipped), so a round leaves a share of the nodes whatever their values, and
     a long path in ascending order takes no more rounds than another.  What a
-    node's move leads to is found by going back through the rounds.
+    node's move leads to is found by going back through the rounds.  A node that
+    others moved to while it moved itself is in the edges still and may move again,
+    or become the root: all its rows then lead to one root, and one of them is kept.
     """
     moves = []
     edges = materialize(edges.where("a <> b").distinct(), "edges")
@@ -289,11 +291,12 @@ def _contracted(edges: DataFrame) -> DataFrame:
         edges = materialize(ends.where("a <> b").distinct(), "edges")
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # In the last round no node moves to one that moves, so its roots are final.
     found = moves[-1]
     for move in reversed(moves[:-1]):
         later = found.select(F.col("node").alias("via"), F.col("root").alias("top"))
         here = move.join(later, F.col("root") == F.col("via"), "left").select("node", F.coalesce("top", "root").alias("root"))
-        found = materialize(here.unionByName(found), "roots")
+        found = materialize(here.unionByName(found).where("node <> root").distinct(), "roots")
     return found
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -524,6 +525,32 @@ def test_components_of_an_ascending_path_take_few_rounds(spark, monkeypatch):
     assert rounds.count("moves") <= 20
 
 
+def test_components_have_one_row_for_each_node(spark):
+    r = random.Random(0)
+    edges = [(1, 2), (2, 3)] + [(100 * g + i, 100 * g + r.randrange(i)) for g in range(1, 30) for i in range(1, r.randrange(3, 12))]
+    nodes = {x for e in edges for x in e}
+    df = spark.createDataFrame(edges, "a long, b long")
+    rows = simhash._contracted(df).collect()
+    assert len(rows) == len({x["node"] for x in rows}) and all(x["node"] != x["root"] for x in rows)
+    assert len(rows) == len(nodes) - 30
+    rows = simhash.components(df).collect()
+    assert sorted((x["node"], x["root"]) for x in rows) == sorted((n, n // 100 * 100 or 1) for n in nodes if n % 100 and n != 1)
+
+
+def test_simhash_one_row_for_each_document(spark, monkeypatch):
+    """Groups of 3 to 12 distinct fingerprints, some with copies."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text: text.cast("bigint"))
+    r, fps = random.Random(4), []
+    for g in range(12):
+        centre = r.getrandbits(63)
+        near = {centre} | {centre ^ sum(1 << b for b in r.sample(range(63), 4)) for _ in range(2 + g % 10)}
+        fps += [f for f in sorted(near) for _ in range(r.randrange(1, 3))]
+    of = brute_components(list(enumerate(fps)))
+    docs = spark.createDataFrame([(i, str(f)) for i, f in enumerate(fps)], "doc_id long, text string")
+    rows = simhash.near_duplicates(docs).collect()
+    assert Counter((x["doc_id"], x["component_id"]) for x in rows) == Counter((i, of[f]) for i, f in enumerate(fps))
+
+
 def test_simhash_common_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COMMON", 2)
     r = np.random.default_rng(3)
