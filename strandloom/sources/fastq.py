@@ -77,10 +77,10 @@ def records(stream, start: int = 0, end: int | None = None, multiline: bool = Fa
     if start:
         while fill(3) and not (held[0][1][:1] == b"@" and held[2][1][:1] == b"+"):
             held.pop(0)
+        if len(held) < 3:
+            return  # no record begins here but perhaps a cut one, which the range before sees
     while fill(1):
         at, header = held[0]
-        if end is not None and at >= end:
-            return
         if not header and not fill(2):
             return
         if not header:
@@ -90,9 +90,9 @@ def records(stream, start: int = 0, end: int | None = None, multiline: bool = Fa
         if len(held) == 3 and not held[1][1]:
             held.append((at, b""))  # an empty read at the end of a file
         if len(held) < 4 or header[:1] != b"@" or held[2][1][:1] != b"+" or len(held[1][1]) != len(held[3][1]):
-            if start and len(held) < 4:
-                return
             raise ValueError(f"not a FASTQ record at byte {at}: {header[:60]!r}")
+        if end is not None and at >= end:
+            return  # after the check: a later range may not tell a cut record's lines from a quality
         yield header[1:].decode(), held[1][1].decode(), held[3][1].decode()
         del held[:4]
 

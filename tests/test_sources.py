@@ -38,6 +38,21 @@ def test_many_small_splits():
         assert [r for a in range(0, len(data), size) for r in read(data, a, a + size)] == ODD * 5
 
 
+@pytest.mark.parametrize("records", [ODD[:2], ODD, ODD[:4]])
+def test_cut_files_raise_for_every_split(records):
+    data = text(records)
+    for size in range(len(text(records[:-1])) + 1, len(data) - 1):
+        short = data[:size]
+        with pytest.raises(ValueError):
+            read(short)
+        for cut in range(1, size):
+            with pytest.raises(ValueError):
+                assert read(short, 0, cut) + read(short, cut, size), cut
+        for step in (1, 3, 17):
+            with pytest.raises(ValueError):
+                assert [r for a in range(0, size, step) for r in read(short, a, min(size, a + step))]
+
+
 def test_odd_files():
     assert read(b"") == []
     assert read(b"@x\n\n+\n") == [("x", "", "")]
