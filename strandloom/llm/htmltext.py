@@ -5,13 +5,14 @@ first pass decides what it can from a block's structure and words:
 
 * bad: within a menu, header, footer, sidebar, form, advert, notice or comment
   (by element, role, class or id), or mostly links;
-* good: long, of many stop words or within the page's article, and few links;
-* else ambiguous: a short block, or one of middling stop-word density.
+* good: long, of few links and many stop words; half as many do within an article;
+* else ambiguous: a short block, one of middling stop-word density, or a long one
+  within an article.
 
 The second pass gives an ambiguous block the label of its nearest decided
 neighbours within the same part of the page: of both if they agree, else of the
 nearer one, else good within an article and bad outside.  A heading goes with
-what follows it.
+what follows it.  Text outside of an article is judged like any other.
 
 Defined results: a null or empty page has an empty text; unclosed and stray tags
 are tolerated; an unclosed comment, script or style runs to the end.
@@ -159,11 +160,11 @@ def _decide(b: Block, stop_words: frozenset[str]) -> bool | None:
         return False
     if len(b.text) < LONG:
         return None
-    if b.main:
-        return True
     words = _WORD.findall(b.text.lower())
     density = sum(w in stop_words for w in words) / len(words) if words else 0.0
-    return True if density >= STOP_DENSITY else None if density >= STOP_DENSITY / 2 else False
+    if density >= STOP_DENSITY / (2 if b.main else 1):
+        return True
+    return None if b.main or density >= STOP_DENSITY / 2 else False
 
 
 def labels(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
@@ -202,9 +203,6 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    # A page that has an article is that article; blocks outside of it are not text.
-    if any(b.main and not b.bad for b in found):
-        found = [b for b in found if b.main]
     return " ".join(b.text for b, good in zip(found, labels(found)) if good)
 
 

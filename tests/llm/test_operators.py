@@ -407,6 +407,19 @@ def test_html_without_article():
     assert got.count("house") == 4 and "Yes." in got and "A title" in got and "inks" not in got and "cheap" not in got and "list" not in got
 
 
+def test_html_article_is_no_filter():
+    good = "The house of the man was in the middle of the town and it was not for sale at that time. " * 2
+    teaser = "<article><h3>More</h3><p>A short teaser</p></article>"
+    got = htmltext.extract(f"<body><div><h2>A title</h2><p>{good}</p><p>{good}</p></div>{teaser}<div class=sidebar><p>{good}</p></div>")
+    assert got.count("house") == 4 and "A title" in got
+    # Text beside an article, and after one that was closed too early.
+    got = htmltext.extract(f"<body><article><p>{good}</p></article><div><p>{good}</p></div><p>{'Buy cheap stuff now. ' * 9}</p>")
+    assert got.count("house") == 4 and "cheap" not in got
+    # Long blocks without stop words go with their neighbours within an article.
+    got = htmltext.extract(f"<article><p>{good}</p><p>{'qwx zrt plk ' * 9}</p><p>{good}</p></article>")
+    assert got.count("house") == 4 and "zrt" in got
+
+
 def test_html_pages(spark, sf_dir):
     from html.parser import HTMLParser
 
