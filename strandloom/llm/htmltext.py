@@ -9,6 +9,9 @@ first pass decides what it can from a block's structure and words:
 * else ambiguous: a short block, one of middling stop-word density, or a long one
   within an article.
 
+Stop words tell nothing on a page whose long blocks hardly have any, as in a
+language that isn't listed: there a long block is good if it has few links.
+
 The second pass gives an ambiguous block the label of its nearest decided
 neighbours within the same part of the page: of both if they agree, else of the
 nearer one, else good within an article and bad outside.  A heading goes with
@@ -155,13 +158,23 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _decide(b: Block, stop_words: frozenset[str]) -> bool | None:
+def _counted(b: Block, stop_words: frozenset[str]) -> tuple[int, int] | None:
+    """Words and stop words of a long block that isn't bad by its structure."""
+    if b.bad or b.linked > LINK_DENSITY * len(b.text) or len(b.text) < LONG:
+        return None
+    words = _WORD.findall(b.text.lower())
+    return len(words), sum(w in stop_words for w in words)
+
+
+def _decide(b: Block, counted: tuple[int, int] | None, known: bool) -> bool | None:
     if b.bad or b.linked > LINK_DENSITY * len(b.text):
         return False
-    if len(b.text) < LONG:
+    if counted is None:
         return None
-    words = _WORD.findall(b.text.lower())
-    density = sum(w in stop_words for w in words) / len(words) if words else 0.0
+    n, stops = counted
+    if not known:
+        return n > 0 or None
+    density = stops / n if n else 0.0
     if density >= STOP_DENSITY / (2 if b.main else 1):
         return True
     return None if b.main or density >= STOP_DENSITY / 2 else False
@@ -169,7 +182,9 @@ def _decide(b: Block, stop_words: frozenset[str]) -> bool | None:
 
 def labels(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
     """Whether each block is main text, after both passes."""
-    first = [_decide(b, stop_words) for b in found]
+    counted = [_counted(b, stop_words) for b in found]
+    words, stops = (sum(c[i] for c in counted if c) for i in (0, 1))
+    first = [_decide(b, c, stops >= words * STOP_DENSITY / 2) for b, c in zip(found, counted)]
     n = len(found)
     # Distance to, and label of, the nearest decided block of the same part on either side.
     before: list[tuple[int, bool] | None] = [None] * n

@@ -420,6 +420,13 @@ def test_html_article_is_no_filter():
     assert got.count("house") == 4 and "zrt" in got
 
 
+def test_html_of_another_language():
+    good = "Był dom przy drodze, ktoś mieszkał tam wiele lat, nikt nie pamiętał kiedy zbudowano jego mury. "
+    links = "".join(f"<li><a href={i}>Odnośnik numer kolejny strony głównej {i}</a></li>" for i in range(4))
+    got = htmltext.extract(f"<body><div class=menu>{good}</div><div><h2>Tytuł</h2><p>{good}</p><p>Tak.</p><p>{good}</p></div><p>{'<a href=1>' + good + '</a>'}</p><ul>{links}</ul>")
+    assert got.count("ktoś") == 2 and "Tytuł" in got and "Tak." in got and "Odnośnik" not in got
+
+
 def test_html_pages(spark, sf_dir):
     from html.parser import HTMLParser
 
