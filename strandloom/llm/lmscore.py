@@ -9,8 +9,8 @@ words of the log-probability given both sides.
 Words are hash buckets.  The buckets' counts over the whole corpus are summed in
 Spark; the most frequent are words of their own and all others share ``RARE``
 ids.  Training is distributed: in each round every partition starts from the
-same weights, trains in numpy on masked positions of all its texts (one in
-``STRIDE``, other ones in each round), and the weights, times the positions they
+same weights, trains in numpy on masked positions of all its texts (other ones in
+each round, so that the rounds reach every position), and the weights, times the positions they
 were trained on, are added up in two levels.  So what is gathered grows with the
 corpus, while the model that is broadcast has a fixed size.
 
@@ -35,6 +35,7 @@ REACH, DIM, HIDDEN = 2, 16, 32
 CLASSES, PER_CLASS, RARE = 32, 32, 64
 VOCABULARY = CLASSES * PER_CLASS
 BUCKET_BITS = 18
+#: A round masks one position in as many as there are rounds, or in STRIDE if there are more.
 STRIDE, ROUNDS, RATE = 10, 2, 0.1
 #: Positions in the first step of training and in the last; they grow step by step.
 FIRST_BATCH, BATCH, BATCH_GROWTH = 64, 1024, 4
@@ -215,6 +216,7 @@ def train(docs: DataFrame, table: np.ndarray, rounds: int = ROUNDS) -> Network:
     net = Network.fresh()
     words = spark.sparkContext.broadcast(table)
     size = Network.size()
+    stride = min(STRIDE, rounds)
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(net.flat)
 
@@ -230,7 +232,7 @@ def train(docs: DataFrame, table: np.ndarray, rounds: int = ROUNDS) -> Network:
             for batch in batches:
                 for _, groups in word_hashes(batch.column("text").to_pylist()):
                     ids, bounds, _ = _documents(groups, words.value)
-                    at = np.arange((turn * STRIDE // rounds) % STRIDE, len(ids), STRIDE)
+                    at = np.arange(turn % stride, len(ids), stride)
                     i = 0
                     while i < len(at):
                         part = at[i : i + batch_size - held]

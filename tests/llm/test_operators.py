@@ -694,6 +694,12 @@ def test_lm_learns_from_both_sides(spark):
     assert all(got[i] > got[1000 + i] + 0.5 for i in range(30))
 
 
+def test_lm_trains_on_every_position(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    biases = lmscore.train(docs, lmscore.vocabulary(docs)).wb[0]
+    assert biases[:3].min() > biases[3:].max() + 0.03
+
+
 def test_lm_scores_equal_a_plain_sum(spark, docs, texts):
     table = lmscore.vocabulary(docs)
     net = lmscore.Network.fresh()
