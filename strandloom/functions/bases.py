@@ -14,10 +14,6 @@ def qualities(quality: Column) -> Column:
     return F.transform(chars, lambda c: F.ascii(c))
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-
-
 def quality_sum(quality: Column) -> Column:
     """Sum of raw qualities, in one walk over the characters."""
     chars = F.split(quality, "")
@@ -50,7 +46,3 @@ def words_of(sequence: Column, k: int) -> Column:
     """struct(pos, word) of all k-words; pos from 0."""
     starts = F.when(F.length(sequence) >= k, F.sequence(F.lit(0), F.length(sequence) - k)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda p: F.struct(p.alias("pos"), F.substring(sequence, p + 1, F.lit(k)).alias("word")))
-
-
-def phred_char(quality: Column, base: int) -> Column:
-    return F.chr(quality + F.lit(base))

@@ -76,6 +76,11 @@ def histogram(stats: DataFrame, kind: str, phred_base: int = 33, report_compat:
     1 to 99)."""
     bucket = {"length": length_bucket, "quality": quality_bucket, "gc": gc_bucket}[kind]()
     counts = stats.select(bucket.alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+    return shaped(counts, kind, phred_base, report_compat)
+
+
+def shaped(counts: DataFrame, kind: str, phred_base: int = 33, report_compat: bool = False) -> DataFrame:
+    """A histogram out of the counts of its buckets (qualities raw)."""
     if kind == "length":
         return _dense(counts, "least(1, least)", "greatest(1, most)")
     if kind == "quality":
@@ -127,3 +132,35 @@ def gc_per_position(counts: DataFrame) -> DataFrame:
     """Positions from 1 whose share of G and C is above one in a hundred."""
     whole = F.col("a") + F.col("t") + F.col("g") + F.col("c") + F.col("n_n")
     return counts.select((F.col("pos") + 1).alias("position"), _pct(F.col("g") + F.col("c"), whole).alias("gc_pct")).where("gc_pct > 1.0")
+
+
+def one_pass(reads: DataFrame, k: int | None = None) -> DataFrame:
+    """All sums that a report needs, from one scan of the reads (kernels.REPORT):
+    a row for each position, bucket and, with ``k``, k-word and position."""
+    names = [x.split()[0] for x in kernels.REPORT.split(", ")][2:]
+    rows = reads.select("sequence", "quality").mapInArrow(kernels.report(k), kernels.REPORT)
+    return rows.groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def of_kind(sums: DataFrame, kind: str) -> DataFrame:
+    """(bucket, n) of a histogram's kind, or what position_counts gives."""
+    rows = sums.where(F.col("kind") == kind)
+    if kind == "pos":
+        return rows.select(F.col("key").cast("int").alias("pos"), "n", "qsum", "a", "c", "g", "t", "n_n")
+    return rows.select(F.col("key").alias("bucket"), "n")
+
+
+def summary_of(sums: DataFrame, phred_base: int = 33) -> DataFrame:
+    """``summary`` out of ``one_pass``."""
+    when = lambda kind, x: F.when(F.col("kind") == kind, x)
+    reads, length = F.sum(when("read", F.col("qsum"))), F.sum(when("length", F.col("key") * F.col("n")))
+    mean = F.sum(when("read", F.col("mean"))) / F.nullif(F.sum(when("read", F.col("n"))), F.lit(0))
+    return sums.agg(
+        F.coalesce(reads, F.lit(0)).alias("num_reads"),
+        F.min(when("length", F.col("key"))).cast("int").alias("min_length"),
+        F.max(when("length", F.col("key"))).cast("int").alias("max_length"),
+        length.alias("sum_length"),
+        F.round(length / F.nullif(reads, F.lit(0)), 6).alias("mean_length"),
+        F.round(F.round(mean, 6) - phred_base).cast("int").alias("mean_quality"),
+        *[F.sum(when("pos", F.col("n_n" if b == "n" else b))).alias(f"num_{b}") for b in BASES.lower()],
+    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandloom.operators import filtering, kmers, statistics
@@ -45,16 +45,27 @@ def _tsv(path: str, df: DataFrame, header: str | None = None) -> list[tuple]:
 
 
 def write_report(reads: DataFrame, outdir: str, name: str, spec: StatsSpec = StatsSpec()) -> Results:
-    """All reports of the reads; if the filter is effective, of those that pass."""
+    """All reports of the reads; if the filter is effective, of those that pass.
+    The reads are scanned once; the tables are made of what that scan adds up."""
     os.makedirs(outdir, exist_ok=True)
-    base = spec.phred_base
-    counts = None
+    base, seen = spec.phred_base, None
     if spec.filter.is_effective():
-        rows = filtering.with_status(reads, spec.filter)
-        counts = filtering.status_counts(rows).first().asDict()
+        seen = Observation()
+        split = [F.count_if(F.col("status") == s).alias(f"num_{s}") for s in ("passed", "failed")]
+        rows = filtering.with_status(reads, spec.filter).observe(seen, *split)
         reads = rows.where(F.col("status") == "passed").drop("status")
-    stats = statistics.read_stats(reads)
-    positions = statistics.position_counts(reads)
+    sums = statistics.one_pass(reads, spec.k if spec.kmers else None).persist()
+    try:
+        return _tables(sums, seen, outdir, name, spec, base)
+    finally:
+        sums.unpersist()
+
+
+def _tables(sums: DataFrame, seen: Observation | None, outdir: str, name: str, spec: StatsSpec, base: int) -> Results:
+    one_row = statistics.summary_of(sums, base)
+    one = one_row.first().asDict()  # this runs the scan
+    counts = dict(seen.get) if seen else None
+    positions = statistics.of_kind(sums, "pos")
     files, prefix = [], os.path.join(outdir, os.path.basename(name))
 
     def table(suffix: str, df: DataFrame, plot: Plot | None = None, header: str | None = None) -> list[tuple]:
@@ -67,7 +78,7 @@ def write_report(reads: DataFrame, outdir: str, name: str, spec: StatsSpec = Sta
             files.append(f"{path}.gnuplot")
         return found
 
-    histogram = lambda kind: statistics.histogram(stats, kind, base, spec.report_compat).orderBy("bucket")
+    histogram = lambda kind: statistics.shaped(statistics.of_kind(sums, kind), kind, base, spec.report_compat).orderBy("bucket")
     table("length.histogram.data", histogram("length"), Plot("Read lengths", "length", "reads", ["reads"]))
     table("read.quality.histogram.data", histogram("quality"), Plot("Read qualities", "quality", "reads", ["reads"]))
     table("GC.histogram.data", histogram("gc"), Plot("GC content", "%", "reads", ["reads"]))
@@ -78,14 +89,15 @@ def write_report(reads: DataFrame, outdir: str, name: str, spec: StatsSpec = Sta
     table("nucleotides.data", shares, Plot("Nucleotides by position", "position", "%", list("ATGCN")))
     top = []
     if spec.kmers:
-        top = table("kmers.txt", kmers.table(reads, spec.k), header="kmer\tcount")[: 21 if spec.report_compat else 20]
-        wide = kmers.top_positions(reads, 5, spec.k).groupBy("position").pivot("rank", [1, 2, 3, 4, 5]).agg(F.first("n")).orderBy("position")
+        by_pos_word = kmers.of_sums(sums, spec.k)
+        words = by_pos_word.groupBy("kmer").agg(F.sum("n").alias("n"))
+        top = table("kmers.txt", kmers.ranked(words, spec.k), header="kmer\tcount")[: 21 if spec.report_compat else 20]
+        wide = kmers.top_series(by_pos_word, 5, spec.k).groupBy("position").pivot("rank", [1, 2, 3, 4, 5]).agg(F.first("n")).orderBy("position")
         table("kmers.per.nt.data", wide, Plot("Frequent k-words by position", "position", "count", [r[0] for r in top[:5]]))
-    one = statistics.summary(stats, base).first().asDict()
     if counts:
         whole = counts["num_passed"] + counts["num_failed"]
         one |= counts | {"processed_pct": 100.0 * one["num_reads"] / whole if whole else None}
-    pct = statistics.nucleotide_pct(stats).first().asDict()
+    pct = statistics.nucleotide_pct(one_row).first().asDict()
     path = f"{prefix}.summary.txt"
     with open(path, "w") as out:
         if spec.filter.is_effective():

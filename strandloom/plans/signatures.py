@@ -1,7 +1,7 @@
 """The genomic signature of a file of reads: a binary file, and grey images of the
 words' frequency, of their quality, and of the difference to another signature.
 
-What comes to the driver is a square of 4**k cells at most.
+What comes to the driver is a square of 4**k cells at most, as Arrow columns.
 """
 
 from __future__ import annotations
@@ -42,14 +42,14 @@ def write_signature(reads: DataFrame, outdir: str, name: str, k: int = 7, refere
             out.write(data)
 
     def image(suffix: str, cells: DataFrame, value: str, norm: float | None) -> None:
-        rows = signature.pixels(cells, k, value, norm).select("row", "col", "grey").collect()
-        save(suffix, signature_file.pgm([tuple(r) for r in rows]))
+        found = signature.pixels(cells, k, value, norm).select("row", "col", "grey").toArrow()
+        save(suffix, signature_file.pgm(*(c.to_numpy() for c in found.columns)))
 
     cells = signature.fill(reads, k, phred_base).persist()
     try:
         signature.require_words(cells)
-        counts = [tuple(r) for r in cells.select("x", "y", "n").collect()]
-        save(".gs", signature_file.encode(os.path.basename(name), k, counts))
+        x, y, n = (c.to_numpy() for c in cells.select("x", "y", "n").toArrow().columns)
+        save(".gs", signature_file.encode(os.path.basename(name), k, x, y, n))
         image("_FG.pgm", cells, "n", None)
         image("_QQ.pgm", signature.mean_quality(cells, k), "quality", 256.0 / signature.MAX_QUALITY)
         stats = None
@@ -57,7 +57,7 @@ def write_signature(reads: DataFrame, outdir: str, name: str, k: int = 7, refere
             dif = signature.difference(cells, signature.require_words(reference), k)
             stats = signature.difference_stats(dif, k).first().asDict()
             image("_FG_dif.pgm", signature.absolute_difference(dif), "dif", 1.0)
-        return SignatureResults(sum(n for _, _, n in counts), files, stats)
+        return SignatureResults(int(n.sum()), files, stats)
     finally:
         cells.unpersist()
 

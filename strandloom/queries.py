@@ -26,6 +26,8 @@ ONLY = {
     "filter_right": FilterSpec(right_length=6, min_right_quality=15),
     "filter_max_n": FilterSpec(max_n=2),
     "filter_quality_window": FilterSpec(min_quality=20, max_quality=30, quality_start=4, quality_end=14),
+    "filter_outer_bases": FilterSpec(min_length=20, min_quality=18, max_quality=32).with_outer_bases(4, 5),
+    "filter_legacy": FilterSpec.legacy(),
     "filter_split": ALL,
 }
 LEFT, RIGHT = TrimSpec(4, 20, 40), TrimSpec(right_length=6, min_right_quality=18)
@@ -47,7 +49,7 @@ def _folder(spark: SparkSession) -> str:
         import uuid
 
         return f"{shared.rstrip('/')}/strandloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + tempfile.mkdtemp(prefix="strandloom-")
 
@@ -76,6 +78,14 @@ def _sink(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _edit_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Both outputs of an edit with a filter, written and read again."""
+    path = f"{_folder(spark)}/edited"
+    fastq.write_split(editing.edit_then_filter(reads(spark, d), BOTH, ALL), path)
+    parts = [fastq.read_fastq(spark, f"{path}/status={s}").withColumn("status", F.lit(s)) for s in ("passed", "failed")]
+    return parts[0].unionByName(parts[1])
+
+
 def _written(spark: SparkSession, d: str) -> DataFrame:
     """The data source's own writer, read again in small splits."""
     path = f"{_folder(spark)}/own"
@@ -92,8 +102,8 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _loaded(spark: SparkSession, d: str) -> DataFrame:
     """A signature as a binary file, read again.  At most 4**k cells are collected."""
-    cells = [tuple(r) for r in signature.fill(reads(spark, d), WORD).select("x", "y", "n").collect()]
-    data = signature_file.encode("reads", WORD, cells)
+    cells = signature.fill(reads(spark, d), WORD).select("x", "y", "n").toArrow()
+    data = signature_file.encode("reads", WORD, *(c.to_numpy() for c in cells.columns))
     path = f"{_folder(spark)}/reads.gs"
     store, own = fastq._opened(path)
     store.create_dir(own.rpartition("/")[0], recursive=True)
@@ -124,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_fastq": lambda s, d: _scanned(s, reads(s, d), splitBytes=100_000),
         "scan_paired": _scan_paired,
         "sink_fastq": _sink,
+        "sink_edit": _edit_sink,
         "sink_fastq_source": _written,
         "cgr_load_ref": _loaded,
         "read_stats": _stats(lambda x: x),
@@ -142,6 +153,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hist_quality": _stats(lambda x: statistics.histogram(x, "quality")),
         "hist_gc": _stats(lambda x: statistics.histogram(x, "gc")),
         "histograms": _stats(statistics.histograms),
+        "report_sums": lambda s, d: statistics.one_pass(reads(s, d)).where("kind <> 'read'").select("kind", "key", "n"),
+        "report_summary": lambda s, d: statistics.summary_of(statistics.one_pass(reads(s, d))),
         "quality_per_position": _positions(statistics.quality_per_position),
         "nt_per_position": _positions(statistics.nt_per_position),
         "gc_per_position": _positions(statistics.gc_per_position),

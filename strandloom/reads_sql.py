@@ -105,6 +105,14 @@ def all_sql() -> dict[str, str]:
         "sink_fastq_source": plain,
         "scan_paired": _with(select=f"{_PLAIN}, CASE WHEN key % 2 = 1 THEN 1 ELSE 2 END AS mate FROM reads"),
         "sink_fastq": _with(select=f"{_PLAIN}, {_status(q.ALL)} AS status FROM reads"),
+        "sink_edit": _with(_trimmed(q.BOTH), select=f"SELECT read_id, s AS sequence, q AS quality, {_status(q.ALL.without_ends())} AS status FROM trimmed"),
+        "report_summary": _with(stats, select=f"SELECT {_SUMMARY} FROM stats"),
+        "report_sums": _with(
+            stats,
+            _POSITIONS,
+            select=" UNION ALL ".join(f"SELECT '{k}' AS kind, {b}{' + 33' if k == 'quality' else ''} AS key, count(*) AS n FROM stats GROUP BY 2" for k, b in _BUCKETS.items())
+            + " UNION ALL SELECT 'pos' AS kind, CAST(pos AS BIGINT) AS key, n FROM positions",
+        ),
         "read_stats": _with(stats, select="SELECT *, qsum / length AS mean_quality FROM stats"),
         "filter_counts": _with(select=f"SELECT count(*) FILTER ({_passes(q.ALL)}) AS num_passed, count(*) FILTER (NOT ({_passes(q.ALL)})) AS num_failed FROM reads"),
         "edit_left": _with(_trimmed(q.LEFT), select=f"{edited} FROM trimmed"),

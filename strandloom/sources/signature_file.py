@@ -11,11 +11,11 @@ NAME_BYTES = 180
 _HEADER = struct.Struct(f"<{NAME_BYTES}s4I")
 
 
-def encode(name: str, k: int, cells: list[tuple[int, int, int]]) -> bytes:
-    """Name, k, both sides, number of words, then the square of 32-bit counts."""
+def encode(name: str, k: int, x, y, n) -> bytes:
+    """Name, k, both sides, number of words, then the square of 32-bit counts, which
+    has n at (x, y)."""
     square = np.zeros((2**k, 2**k), "<i4")
-    for x, y, n in cells:
-        square[x, y] = n
+    square[x, y] = n
     return _HEADER.pack(name.encode()[:NAME_BYTES], k, 2**k, 2**k, int(square.sum())) + square.tobytes()
 
 
@@ -44,10 +44,9 @@ def read_signature(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, word_count bigint, x int, y int, n bigint")
 
 
-def pgm(rows: list[tuple[int, int, int]]) -> bytes:
-    """The image of (row, col, grey), at most 4**k or 128 by 128 of them."""
-    side = max((r[0] for r in rows), default=-1) + 1
+def pgm(row: np.ndarray, col: np.ndarray, grey: np.ndarray) -> bytes:
+    """The image with these points, at most 4**k or 128 by 128 of them."""
+    side = int(row.max(initial=-1)) + 1
     image = np.zeros((side, side), np.uint8)
-    for r, c, g in rows:
-        image[r, c] = g
+    image[row, col] = grey
     return f"P5\n{side} {side}\n255\n".encode() + image.tobytes()

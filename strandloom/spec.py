@@ -92,6 +92,18 @@ class FilterSpec:
     def legacy(cls) -> FilterSpec:
         return cls(min_length=50, max_length=200, min_quality=20, max_quality=60, max_out_of_quality=3, max_n=0)
 
+    def with_outer_bases(self, left: int | None = None, right: int | None = None) -> FilterSpec:
+        """The outer ``left`` and ``right`` bases must have the quality asked for of
+        the read.  Neither may be longer than a quarter of the shortest read."""
+        n = {side: x for side, x in (("left", left), ("right", right)) if x}
+        if n and self.min_length is None or any(x > (self.min_length or 0) // 4 for x in n.values()):
+            raise ValueError("an end is longer than a quarter of the shortest read")
+        if n and not self.has_quality():
+            raise ValueError("the outer bases need a quality range")
+        ends = {f"{side}_length": x for side, x in n.items()}
+        ends |= {f"{m}_{side}_quality": getattr(self, f"{m}_quality") for side in n for m in ("min", "max")}
+        return replace(self, **ends)
+
     def has_quality(self) -> bool:
         return _given(self.min_quality, self.max_quality)
 

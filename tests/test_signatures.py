@@ -60,7 +60,7 @@ def test_difference_to_a_signature(spark, reads, tmp_path):
     assert same.difference == {"highest": 0, "lowest": 0, "mean": 0.0, "stddev": 0.0}
     # The header's number of words counts, also where it isn't the sum of the cells.
     other = tmp_path / "other.gs"
-    data = bytearray(signature_file.encode("other", 2, [(3, 3, 5), (1, 1, 3)]))
+    data = bytearray(signature_file.encode("other", 2, [3, 1], [3, 1], [5, 3]))
     data[192:196] = (16).to_bytes(4, "little")
     other.write_bytes(data)
     got = run_signature(spark, reads, out, 2, str(other))

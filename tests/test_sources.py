@@ -7,8 +7,9 @@ from collections import Counter
 
 import pytest
 
-from strandloom.operators import signature
+from strandloom.operators import kmers, signature, statistics
 from strandloom.plans import commands
+from strandloom.plans.report import write_report
 from strandloom.sources import fastq, signature_file
 from strandloom.spec import FilterSpec, StatsSpec, TrimSpec
 from strandloom.streaming import counters
@@ -53,6 +54,44 @@ def test_cut_files_raise_for_every_split(records):
                 assert [r for a in range(0, size, step) for r in read(short, a, min(size, a + step))]
 
 
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_blocks_of_any_size(size):
+    """What is read together doesn't show, for whole files, splits and cut files."""
+    for data in (text(ODD * 3), text(ODD * 3, "\r\n")[:-2], b"\n" + text(ODD) + b"\n\r\n" + text(ODD * 2) + b"\n"):
+        assert read(data, size=size) == ODD * 3
+    data = text(ODD * 3)
+    for cut in range(1, len(data), 5):
+        assert read(data, 0, cut, size=size) + read(data, cut, len(data), size=size) == ODD * 3, cut
+    for short in (data[:-8], data[:-12], data[:-20]):
+        with pytest.raises(ValueError):
+            read(short, size=size)
+    with pytest.raises(ValueError):
+        read(b"@\xff\nA\n+\nI\n", size=size)
+
+
+def test_overwriting_spares_other_files(spark, tmp_path):
+    fastq.register(spark)
+    df = spark.createDataFrame(GOLDEN, SCHEMA).coalesce(1)
+    for name in ("notes.txt", "mine.fq"):
+        (tmp_path / name).write_bytes(text(GOLDEN[:1]))
+    df.write.format("fastq").mode("append").save(str(tmp_path))
+    df.write.format("fastq").mode("overwrite").save(str(tmp_path))
+    left = os.listdir(tmp_path)
+    assert {"notes.txt", "mine.fq"} <= set(left) and len(left) == 3
+
+
+def test_stream_offsets_list_files(tmp_path):
+    reader = fastq.FastqStreamReader({"path": str(tmp_path)})
+    (tmp_path / "m.fq").write_bytes(text(ODD))
+    one = reader.latestOffset()
+    (tmp_path / "a.fq").write_bytes(text(ODD))
+    two = reader.latestOffset()
+    assert [os.path.basename(p.path) for p in reader.partitions(reader.initialOffset(), one)] == ["m.fq"]
+    assert [os.path.basename(p.path) for p in reader.partitions(one, two)] == ["a.fq"]
+    (tmp_path / "m.fq").unlink()
+    assert list(reader.latestOffset()["files"]) == [str(tmp_path / "a.fq")]
+
+
 def test_odd_files():
     assert read(b"") == []
     assert read(b"@x\n\n+\n") == [("x", "", "")]
@@ -126,17 +165,94 @@ def test_report(spark, tmp_path):
     assert not any(f.endswith(".png") for f in os.listdir(tmp_path / "r"))
 
 
+def test_report_scans_once(spark, tmp_path):
+    """Every scan of a partition leaves a line."""
+    seen = tmp_path / "scans"
+
+    def noted(batches):
+        with open(seen, "a") as f:
+            f.write("x\n")
+        yield from batches
+
+    reads = spark.createDataFrame(GOLDEN, SCHEMA).repartition(1).mapInArrow(noted, SCHEMA)
+    for i, spec in enumerate((StatsSpec(kmers=True), StatsSpec(FilterSpec(max_n=1), kmers=True))):
+        found = write_report(reads, str(tmp_path / f"r{i}"), "x.fq", spec)
+        assert len(found.files) == 16 and len(seen.read_text().split()) == i + 1
+
+
+def test_one_pass_equals_the_single_operators(spark):
+    df = spark.createDataFrame([*GOLDEN, ("e", "", ""), ("n", None, None), ("m", "ACG", None)], SCHEMA).repartition(3)
+    sums, stats = statistics.one_pass(df, 3).cache(), statistics.read_stats(df)
+    same = lambda a, b: Counter(tuple(r) for r in a.collect()) == Counter(tuple(r) for r in b.collect())
+    assert same(statistics.summary_of(sums), statistics.summary(stats))
+    assert same(statistics.of_kind(sums, "pos"), statistics.position_counts(df))
+    for kind in ("length", "quality", "gc"):
+        assert same(statistics.shaped(statistics.of_kind(sums, kind), kind), statistics.histogram(stats, kind))
+    assert same(kmers.of_sums(sums, 3).select("kmer", "pos", "n"), kmers.positions(df, 3).select("kmer", "pos", "n"))
+
+
+def test_written_parts_and_paired_files(spark, tmp_path):
+    one, two = tmp_path / "1.fq", tmp_path / "2.fq"
+    one.write_bytes(text(GOLDEN))
+    two.write_bytes(text(GOLDEN[:2]))
+    out = f"file://{tmp_path}/shared"
+    got = commands.run_filter(spark, (str(one), str(two)), out, FilterSpec(max_n=1))
+    assert (got.passed, got.failed) == (6, 2)
+    assert sorted(os.listdir(tmp_path / "shared")) == ["failed_1.fq", "failed_2.fq", "passed_1.fq", "passed_2.fq"]
+    assert read((tmp_path / "shared/failed_2.fq").read_bytes()) == [GOLDEN[1]]
+    got = commands.run_filter(spark, str(one), str(tmp_path / "p"), FilterSpec(max_n=1), parts=True)
+    assert (got.passed, got.failed) == (5, 1)
+    back = fastq.read_fastq(spark, f"{tmp_path}/p/parts/status=passed")
+    assert Counter(tuple(r) for r in back.collect()) == Counter(r for r in GOLDEN if r[0] != "r2")
+
+
+def test_lost_parts_raise(spark, tmp_path, monkeypatch):
+    """As where executors write to disks of their own."""
+    (tmp_path / "x.fq").write_bytes(text(GOLDEN))
+    monkeypatch.setattr(fastq, "write_split", lambda rows, path, keys: rows.count())
+    with pytest.raises(OSError):
+        commands.run_filter(spark, str(tmp_path / "x.fq"), str(tmp_path / "o"), FilterSpec(max_n=1))
+
+
+def test_plain_folders_need_local_mode(spark):
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    assert commands.target(spark, "/x/") == "file:///x" and commands.target(Session, "s3://b/x") == "s3://b/x"
+    with pytest.raises(ValueError):
+        commands.target(Session, "/x")
+
+
+def test_fixed_trims(spark, tmp_path):
+    (tmp_path / "x.fq").write_bytes(text(GOLDEN))
+    got = commands.run_edit(spark, str(tmp_path / "x.fq"), str(tmp_path / "o"), TrimSpec(), FilterSpec(min_length=8), (1, 2), 8)
+    assert (got.passed, got.failed, got.edited) == (1, 5, 6)
+    assert read((tmp_path / "o/edit.fq").read_bytes()) == [("r5", "TTTTTTTTT", "IIIIIIIII")]
+    with pytest.raises(ValueError):
+        commands.run_edit(spark, str(tmp_path / "x.fq"), str(tmp_path / "o"), TrimSpec(), None, (3, 0), 8)
+
+
+def test_legacy_options(tmp_path):
+    (tmp_path / "c.json").write_text('{"legacy": true, "max-N": 7, "read-length-range": "40,"}')
+    args = commands.parsed(f"filter -f x --conf {tmp_path}/c.json --max-N 2 --lfilter-nts 10 --quality-window 0,30".split())
+    keep, _ = commands.specs(args)
+    assert (keep.min_length, keep.max_length, keep.max_n, keep.left_length, keep.min_left_quality, keep.quality_end) == (40, 200, 2, 10, 20, 30)
+    with pytest.raises(ValueError):
+        commands.specs(commands.parsed("filter -f x --read-length-range 40, --read-quality-range 20, --rfilter-nts 11".split()))
+
+
 def test_command_line():
-    args = commands.parser().parse_args("edit -f x --left-length 3 --left-quality-range 20,41 --max-out-of-quality 4 --read-length-range ,90 --quality-encoding phred64".split())
+    args = commands.parsed("edit -f x --left-length 3 --left-quality-range 20,41 --max-out-of-quality 4 --read-length-range ,90 --quality-encoding phred64".split())
     keep, trim = commands.specs(args)
     assert (keep.max_length, keep.max_out_of_quality, keep.phred_base, trim.min_left_quality) == (90, 4, 64, 20) and trim.trims_left()
     with pytest.raises(SystemExit):
-        commands.parser().parse_args(["stats"])
+        commands.parsed(["stats"])
 
 
 def test_signature_file(spark, tmp_path):
     cells = [(0, 1, 5), (3, 3, 7)]
-    data = signature_file.encode("some", 2, cells)
+    data = signature_file.encode("some", 2, *zip(*cells))
     assert len(data) == 196 + 64
     name, k, words, square = signature_file.decode(data)
     assert (name, k, words, square[3, 3]) == ("some", 2, 12, 7)
@@ -146,7 +262,7 @@ def test_signature_file(spark, tmp_path):
     with pytest.raises(ValueError):
         signature_file.decode(data[:-1])
     df = spark.createDataFrame(cells, "x int, y int, n long")
-    image = signature_file.pgm([tuple(r) for r in signature.pixels(df, 2).collect()])
+    image = signature_file.pgm(*(c.to_numpy() for c in signature.pixels(df, 2).toArrow().columns))
     assert image.startswith(b"P5\n128 128\n255\n") and len(image) == 15 + 128 * 128
 
 
