@@ -9,9 +9,17 @@ leading hex digits of their hashes.  Roots tell whether texts are equal;
 ``differing_branches`` tells where they differ; ``likeness`` is 1 for equal
 roots, else the share that two trees' sets of blocks have in common.
 
-All of it is column expressions.  Defined results: a null text counts as empty;
-an empty text has one empty paragraph without blocks; equal texts have equal
-fingerprints whatever else is in their rows.
+All of it is column expressions.  Texts alone are shuffled, sorted and put beside
+their successors; trees are made after that, in one projection, so the hashes of
+one row are in memory at a time.
+
+Defined results: a null text counts as empty; an empty text has one empty
+paragraph without blocks; a very long text is a tree of as many more nodes, held
+by one task; equal texts (ties, repeated rows) have equal fingerprints whatever
+else is in their rows, and each row gives one; a null doc_id precedes all others,
+rows of equal ids are in the order of their texts; the only row of a table
+follows itself; an empty table gives no rows; columns besides doc_id and text are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -52,11 +60,32 @@ def fingerprint(text: Column, block: int = BLOCK) -> Column:
     return F.transform(tree, lambda d: F.concat_ws(" ", d["h"], F.flatten(F.transform(d["c"], listed))))[0]
 
 
+def _leaves(fp: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(fp, " "), lambda n: n.startswith("L")))
+
+
+def block_set(text: Column, block: int = BLOCK) -> Column:
+    """What ``likeness`` compares: the distinct ``L`` nodes of a text, without its tree."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x != "")
+    cut = F.lit(f"(?s).{{1,{block}}}")
+    return F.array_distinct(F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, cut, F.lit(0)), lambda b: _short("L", F.sha2(b, 256))))))
+
+
+def _likeness(a: Column, b: Column, same: Column) -> Column:
+    """Of two sets of blocks; 1 if the roots are the ``same``."""
+
+    def share(x: Column) -> Column:
+        either = F.size(x["a"]) + F.size(x["b"]) - x["n"]
+        return F.when(either == 0, F.lit(0.0)).otherwise(x["n"] / F.greatest(either, F.lit(1)))
+
+    # Bound to a variable, so the sets are made once.
+    sets = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("n")))
+    return F.when(same, F.lit(1.0)).otherwise(F.transform(sets, share)[0])
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, from 0 to 1."""
-    leaves = lambda x: F.filter(F.split(x, " "), lambda n: n.startswith("L"))
-    both, either = F.size(F.array_intersect(leaves(a), leaves(b))), F.size(F.array_union(leaves(a), leaves(b)))
-    return F.when(root(a) == root(b), F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(both / F.greatest(either, F.lit(1)))
+    return _likeness(_leaves(a), _leaves(b), root(a) == root(b))
 
 
 def root(fp: Column) -> Column:
@@ -69,9 +98,8 @@ def differing_branches(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, rows_each: int = 250) -> DataFrame:
-    """doc_id, text ('' if null), fingerprint, and text and fingerprint of the
-    next document by ascending id (nulls first, equal ids by text; the first
-    follows the last).
+    """doc_id, text ('' if null) and the text of the next document by ascending id
+    (nulls first, equal ids by text; the first follows the last).
 
     Ids are cut into ranges.  The rows that begin a range are also dealt, as
     sentinels, to the range before it, so each range finds all its successors
@@ -86,10 +114,9 @@ def with_next(docs: DataFrame, rows_each: int = 250) -> DataFrame:
     ahead = F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("p"), F.lit(1).alias("c"))
     spots = F.explode(F.when(first, F.array(own, ahead)).otherwise(F.array(own)))
     dealt = whole.withColumn("spot", spots).select("doc_id", "text", F.col("spot.p").alias("part"), F.col("spot.c").alias("copy"))
-    made = dealt.repartition("part").withColumn("fingerprint", fingerprint(F.col("text")))
     order = Window.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
-    following = F.lead(F.struct("text", "fingerprint")).over(order)
-    return made.withColumn("next", following).where("copy = 0").select("doc_id", "text", "fingerprint", F.coalesce("next.text", "text").alias("next_text"), F.coalesce("next.fingerprint", "fingerprint").alias("next_fingerprint"))
+    ranged = dealt.repartition("part").withColumn("next", F.lead("text").over(order))
+    return ranged.where("copy = 0").select("doc_id", "text", F.coalesce("next", "text").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -101,13 +128,15 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    return rows.select(
+    own, other = fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint")
+    made = rows.select("doc_id", "text", "next_text", F.sha2("edited", 256).alias("edited_sha256"), own, other)
+    return made.select(
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        # Roots are equal where texts are.
+        _likeness(_leaves(F.col("fingerprint")), block_set(F.col("next_text")), F.col("text") == F.col("next_text")).alias("near_next"),
     )
