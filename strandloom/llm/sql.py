@@ -128,7 +128,10 @@ WITH d AS MATERIALIZED (
   SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM placed
 ), base AS (
   SELECT rid, kind, ord, start, start + length(value) AS stop, right(piece, 128) AS before, left(next_piece, 128) AS after,
-    kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(value) END AS entity
+    unnest([kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(value) END,
+      kind || '~' || CASE kind WHEN 'email' THEN regexp_replace(lower(value), '^[^@]*@', '@') WHEN 'ip' THEN regexp_extract(value, '^[0-9]+\.[0-9]+\.')
+        WHEN 'card' THEN left(digits, 6) ELSE left(digits, length(digits) - 4) END,
+      kind]) AS entity, unnest([1, 2, 3]) AS level
   FROM read_
   WHERE CASE kind
     WHEN 'ip' THEN regexp_full_match(value, '(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){{4}}')
@@ -148,27 +151,36 @@ WITH d AS MATERIALIZED (
 ), tokens AS (
   SELECT term, count(*) AS n_term, sum(count(*)) OVER () AS total
   FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{{L}}{{3,}}')) AS term FROM d) GROUP BY term
+), shares AS (
+  SELECT entity, term, least(1.0::DOUBLE, n_both::DOUBLE / n_term) AS p, greatest(1.0::DOUBLE, n_term::DOUBLE * contexts / n_both) AS m,
+    -ln(least(1.0::DOUBLE, n_entity::DOUBLE / total)) AS ic
+  FROM pairs JOIN tokens USING (term)
 ), scored AS (
-  SELECT entity, term, ln(least(1.0::DOUBLE, n_both::DOUBLE / n_term)) AS log_share, -ln(least(1.0::DOUBLE, n_entity::DOUBLE / total)) AS ic
-  FROM pairs JOIN tokens USING (term) WHERE contexts >= 3
+  SELECT entity, term, ic, ln((p + 1.645::DOUBLE * 1.645::DOUBLE / (2 * m) - 1.645::DOUBLE * sqrt(p * (1 - p) / m + 1.645::DOUBLE * 1.645::DOUBLE / (4 * m * m)))
+    / (1 + 1.645::DOUBLE * 1.645::DOUBLE / m)) AS log_share
+  FROM shares
 ), disclosing AS (
-  SELECT DISTINCT b.rid, s.term FROM base b JOIN scored s USING (entity) WHERE ic > 0 AND least(1.0::DOUBLE, (log_share + ic) / ic) >= 0.8
+  SELECT b.rid, s.term, max(least(1.0::DOUBLE, (log_share + ic) / ic)) AS disclosure
+  FROM (SELECT DISTINCT rid, entity FROM base) b JOIN scored s USING (entity) WHERE ic > 0 AND (log_share + ic) / ic >= 0.85 GROUP BY ALL
 ), words_ AS (
   SELECT rid, regexp_extract_all(text, '\p{{L}}{{3,}}') AS m, string_split_regex(text, '\p{{L}}{{3,}}') AS p
   FROM d WHERE rid IN (SELECT rid FROM disclosing)
 ), spots AS ({_located("words_", "rid")}
 ), terms AS (
-  SELECT s.rid, s.start, s.start + length(s.value) AS stop
+  SELECT s.rid, s.start, s.start + length(s.value) AS stop, CASE WHEN t.disclosure >= 0.95 THEN 'removed' ELSE 'generalised' END AS kind
   FROM spots s JOIN disclosing t ON s.rid = t.rid AND lower(s.value) = t.term
-  WHERE NOT EXISTS (FROM base b WHERE b.rid = s.rid AND b.start < s.start + length(s.value) AND s.start < b.stop)
+  WHERE NOT EXISTS (FROM base b WHERE b.level = 1 AND b.rid = s.rid AND b.start < s.start + length(s.value) AND s.start < b.stop)
 ), by_doc AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
     count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) AS listed
-  FROM base GROUP BY rid
+  FROM base WHERE level = 1 GROUP BY rid
 ), by_term AS (
-  SELECT rid, string_agg('term:' || start || ':' || stop, ',' ORDER BY start) AS listed FROM terms GROUP BY rid
+  SELECT rid, count(*) FILTER (kind = 'generalised') AS n_generalised, count(*) FILTER (kind = 'removed') AS n_removed,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS listed
+  FROM terms GROUP BY rid
 )
 SELECT doc_id, CAST(coalesce(n_email, 0) AS BIGINT) AS n_email, CAST(coalesce(n_ip, 0) AS BIGINT) AS n_ip, CAST(coalesce(n_card, 0) AS BIGINT) AS n_card,
-  CAST(coalesce(n_phone, 0) AS BIGINT) AS n_phone, sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(concat_ws(',', b.listed, t.listed), '') AS spans
+  CAST(coalesce(n_phone, 0) AS BIGINT) AS n_phone, sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(concat_ws(',', b.listed, t.listed), '') AS spans,
+  CAST(coalesce(n_generalised, 0) AS BIGINT) AS n_generalised, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM d LEFT JOIN by_doc b USING (rid) LEFT JOIN by_term t USING (rid)
 """

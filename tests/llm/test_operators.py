@@ -308,7 +308,7 @@ def check_base(rows, by_key):
         listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in PLAIN] == [sum(x[0] == k for x in want) for k in PLAIN]
-        assert r["spans"] == listed or r["spans"].startswith(listed + ",term:")
+        assert r["spans"] == listed or r["spans"].startswith((listed + ",generalised:", listed + ",removed:"))
 
 
 def test_pii(spark, texts, sf_dir):
@@ -329,17 +329,60 @@ def test_pii_patterns_equal_their_plain_forms(spark):
     check_base(rows, texts)
 
 
-def test_pii_terms(spark):
-    noise = [(i, "the one lives near here and there " + words(60, i).replace("w", "word").translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(100, 160)]
-    leaks = [(i, f"{words(5, i)} zanzibar{'abc'[i]} Zanzibar lives near x{i}y and {words(3, 50 + i)} joe@corp.example.org {words(4, 70 + i)} the") for i in range(3)]
-    both = spark.createDataFrame(noise + leaks + [(7, "zanzibar alone has nothing to protect")], "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(both).collect()}
+LETTERS = str.maketrans("0123456789", "abcdefghij")
+
+
+def leaking():
+    """Noise, texts with one address and a word of its own, and one with that word alone."""
+    noise = [(i, "the one lives near here and there " + words(60, i).replace("w", "word").translate(LETTERS)) for i in range(100, 160)]
+    leaks = [(i, f"{words(5, i)} the one lives near zanzibar{'abcdefg'[i]} Zanzibar x{i}y and {words(3, 50 + i)} joe@corp.example.org {words(4, 70 + i)} the") for i in range(7)]
+    return noise, leaks, (7, "zanzibar alone has nothing to protect")
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_pii_terms(spark, limit, monkeypatch):
+    """By a broadcast and by a shuffle."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    noise, leaks, alone = leaking()
+    both = spark.createDataFrame([*noise, *leaks, alone], "doc_id long, text string")
+    rows = pii.personal_data(both).collect()
+    got = {r["doc_id"]: r["spans"] for r in rows}
     for i, text in leaks:
-        assert f"term:{text.index('Zanzibar')}:{text.index('Zanzibar') + 8}" in got[i]
+        spots = {x.split(":", 1)[1] for x in got[i].split(",") if x.startswith(("generalised", "removed"))}
+        marked = {text[int(a) : int(b)] for a, b in (x.split(":") for x in spots)}
+        assert "Zanzibar" in marked and not marked & {"the", "one", "lives", "near"}
     assert got[7] == "" and all(got[i] == "" for i, _ in noise)
+    assert all((r["n_generalised"], r["n_removed"]) == (r["spans"].count("generalised:"), r["spans"].count("removed:")) for r in rows)
     clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(both).collect()}
-    assert all("[EMAIL]" in clean[i] and "Zanzibar" not in clean[i] and "joe@" not in clean[i] for i, _ in leaks)
-    assert clean[7] == "zanzibar alone has nothing to protect" and clean[100] == noise[0][1]
+    assert all("[EMAIL]" in clean[i] and "Zanzibar" not in clean[i] and "joe@" not in clean[i] and "lives near" in clean[i] for i, _ in leaks)
+    assert clean[7] == alone[1] and clean[100] == noise[0][1]
+
+
+def test_pii_both_decisions(spark):
+    """A word of one address in many contexts is removed, one seen once generalised."""
+    noise = [(i, words(66, i).replace("w", "word").translate(LETTERS)) for i in range(10_000, 10_500)]
+    many = [(1000 + i, f"{words(9, 300 + i).translate(LETTERS)} zanzibar {words(9, 400 + i).translate(LETTERS)} joe@corp.example.org") for i in range(60)]
+    some = [(2000, "once qwertyx here ann@other.example.net")]
+    rows = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame([*noise, *many, *some], "doc_id long, text string")).collect()}
+    text = dict(many)[1005]
+    assert f"removed:{text.index('zanzibar')}:{text.index('zanzibar') + 8}" in rows[1005]["spans"]
+    assert "generalised:5:12" in rows[2000]["spans"]
+
+
+def test_pii_copies_are_one_context(spark):
+    """A thousand copies of a text show no more than one."""
+    noise, _, _ = leaking()
+    text = "some qwertyx words here ann@other.example.net"
+    for copies in (1, 300):
+        docs = spark.createDataFrame([*noise, *[(1000 + i, text) for i in range(copies)]], "doc_id long, text string")
+        found = pii.find(docs).where("doc_id = 1000").first()["terms"]
+        assert all(x["kind"] == "generalised" for x in found)
+
+
+def test_pii_finds_terms_on_the_tables_and_spares_clean_documents(spark):
+    rows = run(spark, "op5_pii", "/root/testdata/sf0.01")
+    touched = [r for r in rows if r["n_generalised"] + r["n_removed"]]
+    assert len(touched) > 0 and all(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in touched)
 
 
 def test_pii_awkward(spark):
@@ -427,6 +470,84 @@ def test_html_of_another_language():
     assert got.count("ktoś") == 2 and "Tytuł" in got and "Tak." in got and "Odnośnik" not in got
 
 
+GOOD = "The house of the man was in the middle of the town and it was not for sale at that time. " * 2
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "page has-sidebar", "with-menu", "site-header-fixed wrap", "ad-free", "side-by-side", "widget", "alert", "banner", "page-header"])
+def test_html_wrappers_empty_no_page(name):
+    """No class around the whole page takes its text away."""
+    for inner in (f"<article><h1>Title</h1><p>{GOOD}</p></article>", f"<h1>Title</h1><p>{GOOD}</p>"):
+        got = htmltext.extract(f'<body><div class="{name}">{inner}<div class="sidebar"><p>Aside: {GOOD}</p></div><div class="comments"><p>Reader: {GOOD}</p></div></div><div class="site-footer"><p>Foot {GOOD}</p></div>')
+        assert got.count("house") == 2 and "Title" in got and "Aside" not in got and "Reader" not in got and "Foot" not in got
+    nested = f'<div class="widget"><div class="banner">{GOOD}</div></div><div class="cookie-notice">{GOOD}{GOOD}</div>'
+    assert htmltext.extract(nested).count("house") == 2
+    assert htmltext.extract(f'<div class="comments">{GOOD}</div><div class="ad-slot-2">{GOOD}</div>') == ""
+
+
+def test_html_article_keeps_its_parts():
+    got = htmltext.extract(f'<article><p>{GOOD}</p><section class="related-work"><h2>Related work</h2><p>Others {GOOD}</p></section><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p><a href=1>The report of the committee on that house</a></p><p>{GOOD}</p><ul class="related-posts"><li><a href=2>More of the same</a></li></ul></article>')
+    assert "Related work Others" in got and "So x=2 holds." in got and "The report of the committee" in got and "More of" not in got
+
+
+def test_html_density_and_neighbours_decide(monkeypatch):
+    """Without either pass the text of a page without an article is another."""
+    page = f"<body><div><h2>Heading</h2><p>{GOOD}</p><p>Yes.</p><p>{GOOD}</p></div><div class=x><p>{'Buy cheap stuff now. ' * 9}</p><p>Now.</p></div>"
+    whole = htmltext.extract(page)
+    assert "Heading" in whole and "Yes." in whole and "cheap" not in whole and "Now." not in whole
+    with monkeypatch.context() as m:
+        m.setattr(htmltext, "STOP_DENSITY", 0.0)
+        assert "cheap" in htmltext.extract(page)
+    found, named = htmltext.blocks(page)
+    alone = " ".join(b.text for b, good in zip(found, htmltext.first_pass(found, named)) if good)
+    assert alone.count("house") == 4 and "Heading" not in alone and "Yes." not in alone
+
+
+def test_html_labels_equal_a_plain_second_pass():
+    """Random pages: each undecided block by a search of its part."""
+    r = random.Random(6)
+    parts = [f"<p>{GOOD}</p>", "<p>short one</p>", "<h2>head</h2>", f"<p>{'Buy cheap stuff now. ' * 9}</p>", "<article>", "</article>", "<div>", "</div>", "<section class=share>", "</section>", "<aside>x</aside>", "<p><a href=1>linked text</a></p>", "<nav><p>menu</p></nav>"]
+    for _ in range(300):
+        found, named = htmltext.blocks("".join(r.choice(parts) for _ in range(r.randrange(1, 25))))
+        first = htmltext.first_pass(found, named)
+        for i, got in enumerate(htmltext.labels(found, named)):
+            if first[i] is not None:
+                assert got == first[i]
+                continue
+            near = sorted((abs(j - i), j > i, first[j]) for j in range(len(found)) if first[j] is not None and found[j].part == found[i].part)
+            sides = [next((x for x in near if x[1] == s), None) for s in (False, True)]
+            known = [x for x in sides if x]
+            if not known:
+                want = found[i].main
+            elif len({x[2] for x in known}) == 1:
+                want = known[0][2]
+            elif found[i].heading:
+                want = sides[1][2]
+            else:
+                want = found[i].main if sides[0][0] == sides[1][0] else min(known)[2]
+            assert got == want
+
+
+def test_html_awkward_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string, lang string"
+    long = "<article>" + f"<p>{GOOD}</p>" * 4000 + "</article>"
+    rows = [(1, "u", None, "t", "n", None), (None, None, "", "t", "n", None), (2, "u", f"<p>{GOOD}</p>", None, None, "x"), (2, "u", f"<p>{GOOD}</p>", None, None, "x"), (3, "v", long, "t", "n", "x")]
+    out = htmltext.extracted(spark.createDataFrame(rows, schema))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    text = " ".join(GOOD.split())
+    want = [(1, "u", "", 0), (None, None, "", 0), *[(2, "u", text, len(text))] * 2, (3, "v", " ".join([text] * 4000), 4000 * (len(text) + 1) - 1)]
+    assert Counter(tuple(r) for r in out.collect()) == Counter(want)
+    assert htmltext.extracted(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_html_deep_pages_take_little_time():
+    import time
+
+    begin = time.time()
+    htmltext.extract("<div class=widget>" * 20_000 + "x" + "</section>" * 20_000)
+    htmltext.extract("".join(f"<div class=widget><p>{GOOD}" for _ in range(2000)))
+    assert time.time() - begin < 20
+
+
 def test_html_pages(spark, sf_dir):
     from html.parser import HTMLParser
 
@@ -457,7 +578,7 @@ def test_html_pages(spark, sf_dir):
         assert r["text"] == " ".join("".join(p.out).split()) and r["n_chars"] == len(r["text"])
 
 
-@pytest.mark.parametrize("page", [None, "", "<", "a < b", "<p", "<!-- open", "<script>x", "</div></div>x", "<div " * 2000, "<p>" * 20000 + "x", "<a href='x>" * 50, "<head><p>q</p>"])
+@pytest.mark.parametrize("page", [None, "", "<", "a < b", "<p", "<!-- open", "<script>x", "</div></div>x", "<div " * 2000, "<p>" * 20000 + "x", "</svg>" * 9, "<a href='x>" * 50, "<head><p>q</p>"])
 def test_html_awkward(page):
     assert isinstance(htmltext.extract(page), str)
 

@@ -7,11 +7,12 @@ from helpers import awkward_rows, words
 from strandloom.llm import queries
 
 LEAKS = [(i, f"{words(5, i)} zanzibar{'abc'[i]} Zanzibar lives near x{i}y and {words(3, 50 + i)} joe@corp.example.org {words(4, 70 + i)} the") for i in range(3)]
+MANY = [(300 + i, f"{words(9, 300 + i).replace('w', 'word')} Zanzibarex {words(9, 400 + i)} amy@corp.example.org") for i in range(40)]
 NOISE = [(i, "the one lives near here and there " + words(60, i).replace("w", "word")) for i in range(100, 160)]
 LINES = [(200, "\n\n\na\n\nb\n"), (201, "a\n"), (202, "\n"), (203, "one\n\ntwo\nthree\n\n\n" + "x" * 200), (204, "😀" * 130)]
 TABLES = {
     "awkward": [(r[0], r[1], r[2], r[3], r[4]) for r in awkward_rows()],
-    "crafted": [(i, t, "en", "ab"[i % 2], len(t)) for i, t in LEAKS + NOISE + LINES],
+    "crafted": [(i, t, "en", "ab"[i % 2], len(t)) for i, t in LEAKS + NOISE + LINES + MANY],
     "empty": [],
 }
 BENCHMARK = [("1", "same text twice"), ("2", "text of id eight"), ("3", None), ("4", " lives near here and there word1 ")]
@@ -38,4 +39,4 @@ def test_sql(spark, tmp_path, name, table):
     rows = [tuple(r[names.index(c)] for c in columns) for r in found.fetchall()]
     assert normal(rows) == normal([tuple(r) for r in got.select(*columns).collect()])
     if (name, table) == ("op5_pii", "crafted"):
-        assert any("term:" in str(r) for r in rows)
+        assert any("generalised:" in str(r) for r in rows)
