@@ -1,17 +1,20 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams.
 
 Items are normalised and cut into windows of ``WINDOW`` words; an item of fewer
-words is one window.  The 64-bit hashes of all windows are a hash set in the
-plan (``InSet``), which travels with each task; documents are scanned as rolling
-hashes of their words.  A position in the set is a hit only if the words are
-those of a window: the joined words meet the windows' in an equality join.
-
-A set holds ``SET_SIZE`` windows at most; a larger benchmark is scanned for in
-several passes, so what is broadcast stays bounded.
+words is one window.  Documents are scanned once, as rolling hashes of their
+words.  A bitmap of the windows' hashes, one literal of ``MOST_BITS`` bits at most
+whatever the benchmark, lets through the positions that may be hits; these meet
+the windows in an equality join of the words themselves, so a hit is verified and
+the bitmap costs time alone.  The join's hash table is broadcast if the windows
+are ``SET_SIZE`` and ``SET_BYTES`` of text or fewer; a larger set is joined by a
+shuffle.
 
 All of it is DataFrame operations.  Defined results: a null or empty text has no
-words and no hits; items that are null or without words have no windows; rows
-that are equal get equal results; repeated item_ids count once.
+words and no hits; items that are null or without words have no windows; a very
+long text is scanned whole, as one row; rows that are equal (repeated rows, ties)
+get equal results and a row each, null ids as well; repeated item_ids count once,
+a null item_id counts as none; an empty table of documents gives no rows, an empty
+benchmark no hits; columns besides doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -19,8 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm._shared import materialize
+
 WINDOW = 8
-SET_SIZE = 200_000
+#: Windows, and bytes of their text, that are broadcast.
+SET_SIZE, SET_BYTES = 200_000, 32 << 20
+#: Bits of the bitmap for each window, and in all.
+BITS_EACH, FEWEST_BITS, MOST_BITS = 256, 1 << 12, 1 << 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -50,39 +58,48 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.select("item_id", "width", F.array_join("g", " ").alias("gram"), h.alias("h"))
 
 
-def _hits(by_width: dict[int, list[int]]) -> Column:
-    """struct(at, width, gram) of each place of ``w`` whose hash is in the set."""
+def _bitmap(grams: DataFrame, total: int) -> tuple[Column, int]:
+    """Array of 64-bit words with the bits of all windows' hashes, and its bits.
+    MOST_BITS / 64 rows come to the driver at most; in the plan it is one literal."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * max(1, total) - 1).bit_length()))
+    spot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    words = [0] * (bits // 64)
+    for r in grams.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(bit).alias("word")).collect():
+        words[r["at"]] = r["word"]
+    return F.expr("cast(split('" + ",".join(map(str, words)) + "', ',') as array<bigint>)"), bits
+
+
+def _hits(widths: list[int], bitmap: Column, bits: int) -> Column:
+    """struct(at, width, gram) of each place of ``w`` whose hash is in the bitmap."""
     w, hashes = F.col("w"), F.col("hashes")
     found = F.array().cast("array<struct<at:int,width:int,gram:string>>")
 
-    def of_width(width: int, members: list[int]) -> Column:
+    def may_hit(i: Column, width: int) -> Column:
+        # One lookup: a second one would hash the words again.
+        return F.transform(F.array(_hash_at(hashes, i, width).bitwiseAND(F.lit(bits - 1))), lambda h: F.getbit(F.get(bitmap, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)[0]
+
+    def of_width(width: int) -> Column:
         starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
-        inside = F.filter(starts, lambda i: _hash_at(hashes, i, width).isin(members))
+        inside = F.filter(starts, lambda i: may_hit(i, width))
         return F.transform(inside, lambda i: F.struct((i + 1).alias("at"), F.lit(width).alias("width"), F.array_join(F.slice(w, i + 1, width), " ").alias("gram")))
 
-    return F.concat(found, *[of_width(k, m) for k, m in sorted(by_width.items())])
+    return F.concat(found, *[of_width(k) for k in widths])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_size: int = SET_SIZE) -> DataFrame:
     """doc_id, text_hash, n_words, the verified hits (sorted array of at, width)
     and the sorted item_ids they are from, and copies: the number of rows of this
     doc_id and text, which share the row."""
-    grams = windows(benchmark, window)
-    total = grams.count()
-    passes = max(1, -(-total // set_size))
+    grams = materialize(windows(benchmark, window), "windows")
+    of = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("size"), F.sort_array(F.collect_set("width")).alias("widths")).first()
+    bitmap, bits = _bitmap(grams, of["n"])
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("w"))
     rows = rows.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
-    found = None
-    for k in range(passes):
-        part = grams.where(F.pmod("h", F.lit(passes)) == k) if passes > 1 else grams
-        by_width: dict[int, list[int]] = {}
-        for r in part.select("width", "h").distinct().collect():
-            by_width.setdefault(r["width"], []).append(r["h"])
-        own = rows.select("doc_id", "text_hash", F.size("w").cast("bigint").alias("n_words"), F.posexplode_outer(_hits(by_width)).alias("pos", "hit"))
-        own = own.withColumn("begins", (F.coalesce("pos", F.lit(0)) == 0).cast("int") if k == 0 else F.lit(0))
-        found = own if found is None else found.unionByName(own)
+    found = rows.select("doc_id", "text_hash", F.size("w").cast("bigint").alias("n_words"), F.posexplode_outer(_hits(of["widths"], bitmap, bits)).alias("pos", "hit"))
+    found = found.withColumn("begins", (F.coalesce("pos", F.lit(0)) == 0).cast("int"))
     listed = grams.groupBy("gram", F.col("width").alias("gram_width")).agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    if total <= set_size:
+    if of["n"] <= set_size and of["size"] <= SET_BYTES:
         listed = F.broadcast(listed)
     verified = found.join(listed, (F.col("hit.gram") == F.col("gram")) & (F.col("hit.width") == F.col("gram_width")), "left")
     spot = F.when(F.col("items").isNotNull(), F.struct(F.col("hit.at").alias("at"), F.col("hit.width").alias("width")))

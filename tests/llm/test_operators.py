@@ -748,15 +748,32 @@ def tricky():
     return texts, items
 
 
-@pytest.mark.parametrize("set_size", [7, 200_000])
-def test_decontam_tricky(spark, tricky, set_size, monkeypatch):
+@pytest.mark.parametrize("set_size,bits", [(7, 1 << 24), (200_000, 1 << 24), (200_000, 64)])
+def test_decontam_tricky(spark, tricky, set_size, bits, monkeypatch):
+    """By a shuffle, by a broadcast, and with a bitmap that is nearly full."""
     texts, items = tricky
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
     plain = decontam.scan
     monkeypatch.setattr(decontam, "scan", lambda d, b: plain(d, b, set_size=set_size))
     d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     check_hits(decontam.contamination(d, b).collect(), texts, items)
 
 
+def test_decontam_of_200_000_windows(spark):
+    """They are one literal of the plan, so planning takes seconds."""
+    import time
+
+    item = lambda i: " ".join(f"q{i}x{j}" for j in range(107))
+    b = spark.range(2000).selectExpr("id as item_id", "array_join(transform(sequence(0, 106), j -> concat('q', id, 'x', j)), ' ') as text")
+    texts = [(i, words(50, i) + " " + " ".join(item(i).split()[20 : 20 + i]) + " end") for i in range(12)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    begin = time.time()
+    rows = decontam.contamination(d, b).collect()
+    assert time.time() - begin < 60
+    check_hits(rows, texts, [(i, item(i)) for i in range(12)])
+    assert decontam.windows(b).count() == 200_000
+
+
 def test_decontam(spark, sf_dir, texts):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     check_hits(run(spark, "op9_decontam", sf_dir), texts.items(), items)
