@@ -8,12 +8,15 @@ a hash of the id, so every stretch of it holds the source's mix of sizes and the
 words taken come near the target.
 
 The running sum needs ranks, not sizes.  A rank is that of the row within its
-cell (source, band, hash) plus the rows of the source's earlier cells; a cell
-holds a small share of even the largest source, and a source has at most
-``BANDS * SUBCELLS`` cells.
-
-Defined results: a null text has size 0; a null id, repeated ids and ties are
-ordered by size; a source without words takes none; null is a source of its own.
+cell (source, band, hash) plus the rows of the source's earlier cells.  The number
+of cells grows with the table, so that a cell of distinct ids has about
+``ROWS_EACH`` rows at most, be all rows of one source and one size.
+
+Defined results: a null or empty text has size 0 and is taken without words; a
+very long text is counted whole; a null id, repeated ids and rows, and ties are
+ordered by size; a source without words takes none; null is a source of its own;
+an empty table gives no rows; ``emit`` returns all columns as they are, whatever
+their names, ``mix`` and ``mixed`` read doc_id, source and text alone.
 """
 
 from __future__ import annotations
@@ -23,11 +26,19 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm._shared import materialize
+
 WEIGHTS = (3, 1, 2)
-SUBCELLS = 32
+#: Cells of a source and band, at least; rows of a cell, at most but for chance.
+SUBCELLS, ROWS_EACH = 32, 50_000
 BANDS = 256
 
 
+def subcells(rows: int) -> int:
+    """A power of two that grows with the table."""
+    return max(SUBCELLS, 1 << max(0, -(-rows // ROWS_EACH) - 1).bit_length())
+
+
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
@@ -63,21 +74,25 @@ def mix(docs: DataFrame, share: Fraction = Fraction(3, 2), cap: int = 2, weights
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *extra)
-    found = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()]
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    aims = targets(found, share, cap, weights)
-    table = spark.createDataFrame([(s is None, s or "", n, aims[s]) for s, n in found], "is_null boolean, name string, source_size long, target double")
+    if not extra:
+        # Words are counted once; what follows reads the counts.
+        rows = materialize(rows, "sizes")
+    fine = subcells(rows.count() if not extra else docs.count())
     rows = rows.withColumn("is_null", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
     # Eight bands for each power of two, in whole numbers.
     bits = F.length(F.bin(F.col("size") + 1)) - 1
     band = F.least((bits * 8 + F.expr("shiftright((size + 1) * 8, length(bin(size + 1)) - 1)") - 8).cast("bigint"), F.lit(BANDS - 1))
-    sub = F.coalesce(F.pmod(_hex(F.col("doc_id"), 8), F.lit(SUBCELLS)), F.lit(0))
-    rows = rows.withColumn("cell", band * SUBCELLS + sub)
+    sub = F.coalesce(F.pmod(_hex(F.col("doc_id"), 8), F.lit(fine)), F.lit(0))
+    rows = rows.withColumn("cell", band * fine + sub)
     key = ["is_null", "name", "cell"]
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    counts = materialize(rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
+    found = [(r["is_null"], r["name"], r["n"]) for r in counts.groupBy("is_null", "name").agg(F.sum("words").alias("n")).limit(max_sources + 1).collect()]
+    if len(found) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    aims = targets([(None if null else s, n) for null, s, n in found], share, cap, weights)
+    table = spark.createDataFrame([(null, s, n, aims[None if null else s]) for null, s, n in found], "is_null boolean, name string, source_size long, target double")
     before = Window.partitionBy("is_null", "name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    cells = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "words")
     cells = cells.join(F.broadcast(table), ["is_null", "name"])
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id"))
     placed = rows.withColumn("rank", rank).join(cells, key)

@@ -19,11 +19,13 @@ WITH rows_ AS (
          CASE WHEN is_full THEN cap::DOUBLE
               ELSE (t_all - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) * w / sum(w) FILTER (NOT is_full) OVER () END AS target
   FROM capped
+), fine AS (
+  SELECT greatest(32, CAST(2 ** ceil(log2(greatest(count(*), 1) / 50000.0)) AS BIGINT)) AS n FROM documents
 ), placed AS (
   SELECT r.doc_id, r.size, a.source_size, a.target,
          row_number() OVER (PARTITION BY r.source ORDER BY
            (length(bin(size + 1)) - 1) * 8 + (((size + 1) * 8) >> (length(bin(size + 1)) - 1)) - 8,
-           ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 32, size, doc_id) AS k,
+           ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % (SELECT n FROM fine), size, doc_id) AS k,
          ('0x' || substr(md5('7/' || CASE WHEN r.source IS NULL THEN 'true' ELSE 'false' END || '/' || coalesce(r.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
          CASE WHEN a.source_size = 0 THEN 0.0::DOUBLE ELSE least(2.0::DOUBLE, a.target / a.source_size) END AS rate
   FROM rows_ r JOIN aims a ON r.source IS NOT DISTINCT FROM a.source
