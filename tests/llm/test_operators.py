@@ -422,6 +422,15 @@ def test_mixing(spark):
     assert all(r["source_size"] == sizes[docs[r["doc_id"]]["source"]] for r in rows)
 
 
+def test_mixing_cells_grow_with_the_table(spark, monkeypatch):
+    assert [mixing.subcells(n) for n in (0, 10**6, 16 * 10**5, 16 * 10**5 + 1, 10**9)] == [32, 32, 32, 64, 32768]
+    docs = spark.range(4000).selectExpr("id as doc_id", "'a b c' as text", "cast(null as string) as source")
+    for each in (50_000, 20):
+        monkeypatch.setattr(mixing, "ROWS_EACH", each)
+        rows = mixing.mix(docs).collect()
+        assert len(rows) == 4000 and sum(r["copies"] for r in rows) == 6000 and {r["copies"] for r in rows} == {1, 2}
+
+
 def test_mixing_awkward(spark):
     rows = mixing.mixed(awkward(spark)).collect()
     assert len(rows) == len(awkward_rows()) and all(r["taken"] <= 2 * r["size"] for r in rows)
@@ -825,52 +834,153 @@ def test_lm_learns_from_both_sides(spark):
         r.shuffle(w)
         shuffled.append((1000 + i, " ".join(w)))
     train = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
-    table = lmscore.vocabulary(train)
-    net = lmscore.train(train, table, 20)
+    voc = lmscore.vocabulary(train)
+    net = lmscore.train(lmscore.encoded(train, voc), voc, 20)
     both = spark.createDataFrame(docs[:30] + shuffled, "doc_id long, text string")
-    got = {x["doc_id"]: x["mean_log_prob"] for x in lmscore.score(both, table, net).collect()}
+    got = {x["doc_id"]: x["mean_log_prob"] for x in lmscore.score(both, voc, net).collect()}
     assert all(got[i] > got[1000 + i] + 0.5 for i in range(30))
 
 
 def test_lm_trains_on_every_position(spark):
     docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
-    biases = lmscore.train(docs, lmscore.vocabulary(docs)).wb[0]
+    voc = lmscore.vocabulary(docs)
+    biases = lmscore.train(lmscore.encoded(docs, voc), voc).wb[0]
     assert biases[:3].min() > biases[3:].max() + 0.03
 
 
 def test_lm_scores_equal_a_plain_sum(spark, docs, texts):
-    table = lmscore.vocabulary(docs)
-    net = lmscore.Network.fresh()
-    rows = lmscore.score(docs, table, net).collect()
+    voc = lmscore.vocabulary(docs)
+    net = lmscore.Network.fresh(voc.per_class)
+    count = Counter(int(lmscore._bucket(lmscore._hashes(w)[0])[0]) for t in texts.values() for w in t.encode().split())
+    of_id = Counter()
+    for bucket, n in count.items():
+        of_id[int(voc.ids[bucket])] += n
+    assert voc.words == sum(count.values()) and len(of_id) <= voc.size
+    rows = lmscore.score(docs, voc, net).collect()
     for r in rows[:15]:
-        w = texts[r["doc_id"]].encode().split()
-        ids = []
-        for x in w:
-            h, _ = lmscore._hashes(x)
-            ids.append(int(lmscore.ids_of(h, table)[0]))
-        pad = [lmscore.VOCABULARY] * 2
+        buckets = [int(lmscore._bucket(lmscore._hashes(x)[0])[0]) for x in texts[r["doc_id"]].encode().split()]
+        ids = [int(voc.ids[x]) for x in buckets]
+        pad = [voc.size] * 2
         ring_ = pad + ids + pad
         total = 0.0
-        for i, t in enumerate(ids):
+        for i, (t, bucket) in enumerate(zip(ids, buckets)):
             ctx = [ring_[i], ring_[i + 1], ring_[i + 3], ring_[i + 4]]
             h = np.tanh(net.embed[ctx].ravel() @ net.w + net.b)
-            c, j = divmod(t, lmscore.PER_CLASS)
+            c, j = divmod(t, voc.per_class)
             a, b = h @ net.cw + net.cb, h @ net.ww[c] + net.wb[c]
-            total += a[c] - np.log(np.exp(a).sum()) + b[j] - np.log(np.exp(b).sum())
-        assert r["n_tokens"] == len(w) and r["log_likelihood"] == pytest.approx(total, rel=1e-4)
-
-
-def test_lm_gradient():
+            total += a[c] - np.log(np.exp(a).sum()) + b[j] - np.log(np.exp(b).sum()) + np.log(count[bucket] / of_id[t])
+        assert r["n_tokens"] == len(ids) and r["log_likelihood"] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_vocabulary_shares():
+    """Each id's words share its probability; bands of rare ones are of like mass."""
+    counts = np.zeros(1 << lmscore.BUCKET_BITS, np.int64)
+    counts[::7] = np.maximum(1, 200_000 // np.arange(1, len(counts[::7]) + 1))
+    voc = lmscore.Vocabulary.of(counts)
+    assert voc.per_class == lmscore.PER_CLASS[1] and voc.words == counts.sum()
+    seen = counts > 0
+    whole = np.bincount(voc.ids[seen], np.exp(voc.log_share[seen].astype(float)), minlength=voc.size)
+    assert whole == pytest.approx(1, abs=1e-3)
+    own = voc.size * 3 // 4
+    assert np.bincount(voc.ids[seen], minlength=voc.size)[:own].tolist() == [1] * own
+    mass = np.bincount(voc.ids[seen], counts[seen], minlength=voc.size)[own:]
+    assert mass.max() < 1.5 * mass.min()
+    assert np.isfinite(voc.log_share).all()
+    assert lmscore.Vocabulary.of(np.zeros(1 << lmscore.BUCKET_BITS, np.int64)).words == 0
+
+
+def plain_step(weights, seen, ctx, ids, rate=lmscore.RATE):
+    """Adagrad, one position at a time, in double precision."""
+    grad = {k: np.zeros_like(v) for k, v in weights.items()}
+    w = {k: v.copy() for k, v in weights.items()}
+    per_class = w["ww"].shape[2]
+    for around, target in zip(ctx, ids):
+        x = w["embed"][around].ravel()
+        h = np.tanh(x @ w["w"] + w["b"])
+        c, j = divmod(int(target), per_class)
+        p, q = np.exp(h @ w["cw"] + w["cb"]), np.exp(h @ w["ww"][c] + w["wb"][c])
+        p, q = p / p.sum(), q / q.sum()
+        p[c] -= 1
+        q[j] -= 1
+        p, q = p / len(ids), q / len(ids)
+        grad["cw"] += np.outer(h, p)
+        grad["cb"] += p
+        grad["ww"][c] += np.outer(h, q)
+        grad["wb"][c] += q
+        d = (w["cw"] @ p + w["ww"][c] @ q) * (1 - h * h)
+        grad["w"] += np.outer(x, d)
+        grad["b"] += d
+        back = (w["w"] @ d).reshape(len(around), -1)
+        for a, g in zip(around, back):
+            grad["embed"][a] += g
+    for k in weights:
+        seen[k] += grad[k] ** 2
+        weights[k] -= rate * grad[k] / (np.sqrt(seen[k]) + 1e-6)
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_lm_training_equals_plain_steps(bounded):
+    r, per = np.random.default_rng(0), 32
+    net, seen = lmscore.Network(per, lmscore.Network.fresh(per).flat * 3), lmscore.Network.unseen(per)
+    names = net.shapes(per)
+    weights, past = ({k: getattr(x, k).astype(float) for k in names} for x in (net, seen))
+    for n in (50, 7, 30):
+        ctx, ids = r.integers(0, 1025, (n, 4)).astype(np.uint16), r.integers(0, 300, n).astype(np.uint16)
+        ctx[:, 1] = 5
+        plain_step(weights, past, ctx, ids)
+        net.train(ctx, ids, seen, bounded=bounded)
+        for k in names:
+            assert getattr(net, k) == pytest.approx(weights[k], abs=2e-4), k
+    assert np.exp(net.log_prob(ctx[:1].repeat(1024, 0), np.arange(1024).astype(np.uint16))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_learns_what_it_is_shown():
     r = np.random.default_rng(0)
-    net = lmscore.Network(lmscore.Network.fresh().flat * 3)
-    ctx, target = r.integers(0, 40, (50, 4)).astype(np.int32), r.integers(0, 80, 50)
-    before = net.log_prob(ctx, target).mean()
-    seen = lmscore.Network(np.full(net.size(), 1e-3))
+    net, seen = lmscore.Network(32, lmscore.Network.fresh(32).flat * 3), lmscore.Network.unseen(32)
+    ctx, ids = r.integers(0, 40, (50, 4)).astype(np.uint16), r.integers(0, 80, 50).astype(np.uint16)
+    before = net.log_prob(ctx, ids).mean()
     for _ in range(30):
-        net.train(ctx, target, seen)
-    assert net.log_prob(ctx, target).mean() > before + 1
-    whole = sum(np.exp(net.log_prob(ctx[:1].repeat(lmscore.VOCABULARY, 0), np.arange(lmscore.VOCABULARY))))
-    assert whole == pytest.approx(1, abs=1e-3)
+        net.train(ctx, ids, seen)
+    assert net.log_prob(ctx, ids).mean() > before + 1
+
+
+def test_lm_training_equals_a_walk_of_the_shards(spark, docs, monkeypatch):
+    """Rounds, shards, their order and their average, done again without Spark."""
+    monkeypatch.setattr(lmscore, "SHARD_WORDS", 5000)
+    voc = lmscore.vocabulary(docs)
+    rows = lmscore.encoded(docs, voc)
+    net = lmscore.train(rows, voc, 2)
+    shards = {}
+    for r in rows.where("n_tokens > 0").orderBy("shard", "doc_id", "ids").collect():
+        shards.setdefault(r["shard"], []).append(np.frombuffer(r["ids"], "<u2"))
+    assert len(shards) > 5
+    want, whole = lmscore.Network.fresh(voc.per_class), voc.words
+    for turn in range(2):
+        total, n = 0.0, 0
+        for texts in shards.values():
+            own = lmscore.Learner(want, turn, 2)
+            for t in texts:
+                own.add(t)
+            own.flush()
+            total, n = total + own.net.flat.astype(float) * own.trained, n + own.trained
+        want, whole = lmscore.Network(voc.per_class, total / n), whole - n
+    assert whole == 0 and net.flat == pytest.approx(want.flat, abs=1e-6)
+
+
+def test_lm_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "SHARD_WORDS", 5000)
+    a, b = ({r["doc_id"]: r["mean_log_prob"] for r in lmscore.score(docs.repartition(n)).collect()} for n in (2, 16))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
+    assert np.corrcoef([a[i] for i in a], [b[i] for i in a])[0, 1] > 0.999999
+
+
+def test_lm_tells_words_from_junk(spark):
+    """Unknown words are less likely than rare ones, and those than frequent ones."""
+    known = [(i, words(300, i, 300)) for i in range(40)]
+    r = random.Random(1)
+    odd = [(100, " ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(300)))]
+    got = {x["doc_id"]: x["mean_log_prob"] for x in lmscore.score(spark.createDataFrame(known + odd, "doc_id long, text string")).collect()}
+    assert got[100] < min(got[i] for i, _ in known) - 1
 
 
 def test_lm_long_text_is_cut_at_white_space(monkeypatch):
