@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,18 +47,76 @@ def short_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(_BATCH_ROWS, str(rows))
 
 
-def work_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+_MADE: list[str] = []
+_AT_EXIT: set[str] = set()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path for work files.  What is left below the application's folder is
+    removed when the driver's process ends; ``work_files`` removes it before."""
+    root = f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}"
+    if root not in _AT_EXIT:
+        _AT_EXIT.add(root)
+        atexit.register(discard, spark, [root])
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove work files, through the file system that Spark wrote them to."""
+    for path in paths:
+        # The session may have ended; what can't be removed stays.
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._gateway.jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def work_files(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths that are made within; those that are still listed at the end are removed."""
+    begin, own = len(_MADE), []
+    try:
+        yield own
+    finally:
+        own += [p for p in _MADE[begin:] if p not in own]
+        del _MADE[begin:]
+        discard(spark, [p for p in own if p not in _KEPT])
+
+
+_KEPT: set[str] = set()
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there,
-    so a lost executor costs no more than the tasks that it ran."""
+    so a lost executor costs no more than the tasks that it ran.  With ``keep``
+    the table outlives ``work_files``."""
     spark, path = df.sparkSession, work_path(df.sparkSession, label)
+    if keep:
+        _KEPT.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more rows than this is common; so many keys may be, and beyond that
+#: only those with more than their share of all rows.
+COMMON, COMMON_KEYS = 1000, 50_000
+
+
+def labelled(rows: DataFrame, key: str, labels: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the ``value`` that ``labels`` has for their key.  ``labels``
+    has one row for each key, with ``n``, the number of rows that have it.  Rows
+    of common keys stay where they are: there are ``COMMON_KEYS`` such keys at
+    most, so they are broadcast.  The rest is joined by a shuffle."""
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    common = labels.where(F.col("n") > max(COMMON, total // COMMON_KEYS)).select(F.col(key).alias("_common"), F.col(value).alias("_value"))
+    marked = rows.join(F.broadcast(common), F.col(key) == F.col("_common"), "left")
+    own = marked.where("_common is not null").select(*rows.columns, F.col("_value").alias(value))
+    rest = marked.where("_common is null").select(*rows.columns)
+    return own.unionByName(rest.join(labels.select(F.col(key).alias("_key"), value), F.col(key) == F.col("_key")).select(*rows.columns, value))
+
+
 @dataclass(frozen=True)
 class RangeBuckets:
     """Ascending ranges of an integer key, each beginning at a key that occurs.

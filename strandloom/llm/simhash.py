@@ -19,9 +19,13 @@ blocks over many tasks.  Groups of links become components by repeated
 contraction to a neighbour, with a table written in each round.
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any
-other; texts of fewer words than a shingle are one shingle; of rows with one
+other; texts of fewer words than a shingle are one shingle; a very long text is
+read whole, its shingles added up some at a time; a bit that is set in just half
+of the shingles (a tie) is 0; repeated rows give a row each, and of rows with one
 doc_id each keeps its own fingerprint and component; a null doc_id counts as
-larger than any other.
+larger than any other; an empty table gives no rows; columns besides doc_id and
+text are neither read nor returned, but by ``keep_one``, which returns all of them
+as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import materialize, short_batches
+from strandloom.llm._shared import labelled, materialize, short_batches
 
 SHINGLE = 4
 SEED = 42
@@ -43,9 +47,6 @@ DISTANCE = 4
 #: Bits of the five segments of the ring.
 RING = (13, 13, 13, 13, 12)
 HOT = 4096
-#: A key with more rows than this is common; so many keys may be, and beyond that
-#: only those with more than their share of all rows.
-COMMON, COMMON_KEYS = 1000, 50_000
 #: Shingles whose bits are added up together.
 PIECE = 1 << 16
 
@@ -309,19 +310,6 @@ def components(edges: DataFrame) -> DataFrame:
     return every.where("node <> low").select("node", F.col("low").alias("root"))
 
 
-def _labelled(rows: DataFrame, key: str, labels: DataFrame, value: str) -> DataFrame:
-    """``rows`` with the ``value`` that ``labels`` has for their key.  ``labels``
-    has one row for each key, with ``n``, the number of rows that have it.  Rows
-    of common keys stay where they are: there are ``COMMON_KEYS`` such keys at
-    most, so they are broadcast.  The rest is joined by a shuffle."""
-    total = labels.agg(F.sum("n")).first()[0] or 0
-    common = labels.where(F.col("n") > max(COMMON, total // COMMON_KEYS)).select(F.col(key).alias("_common"), F.col(value).alias("_value"))
-    marked = rows.join(F.broadcast(common), F.col(key) == F.col("_common"), "left")
-    own = marked.where("_common is not null").select(*rows.columns, F.col("_value").alias(value))
-    rest = marked.where("_common is null").select(*rows.columns)
-    return own.unionByName(rest.join(labels.select(F.col(key).alias("_key"), value), F.col(key) == F.col("_key")).select(*rows.columns, value))
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every document."""
     short_batches(docs.sparkSession)
@@ -331,8 +319,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     # Components of fingerprints; the smallest doc_id of each is its name.
     member = materialize(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("top")), "members")
     names = materialize(member.groupBy("top").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "names")
-    of_fp = materialize(_labelled(member, "top", names, "component_id").select("fp", "n", "component_id"), "components")
-    return _labelled(rows, "fp", of_fp, "component_id").select("doc_id", "fp", "component_id")
+    of_fp = materialize(labelled(member, "top", names, "component_id").select("fp", "n", "component_id"), "components")
+    return labelled(rows, "fp", of_fp, "component_id").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
