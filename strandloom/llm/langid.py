@@ -6,10 +6,13 @@ per language.  It is broadcast; a batch of texts is scored as a sparse matrix
 Log-probabilities are fixed-point integers, so a sum doesn't depend on the order
 or on the batches in which its terms are added.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
-so is every text if no row has a language to learn from.  Rows with a null
-language or a null id are never learned from.  Copies of a text get the same
-result.  Columns besides id, text and language are neither read nor changed.
+Defined results: a null or empty text, or one without a letter, is ``und`` with
+score 0; so is every text if no row has a language to learn from.  Rows with a
+null language or a null id are never learned from.  A very long text is scored
+whole, some characters at a time, whose number follows the number of languages.
+Of languages with equal scores (ties) the first by name counts.  Copies of a text
+and repeated rows get the same result and a row each; an empty table gives no
+rows.  Columns besides id, text and language are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from strandloom.llm._shared import short_batches
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SCALE = 1 << 16
-#: Characters whose n-grams are looked at together.
-PIECE = 200_000
+#: Characters whose n-grams are looked at together, and numbers that they are
+#: scored with (8 bytes each).
+PIECE, GATHERED = 200_000, 4_000_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PAD = "\n" * (max(ORDERS) - 1)
@@ -89,7 +93,23 @@ class LanguageModel:
         smooth = counts.T + alpha
         log_prob = np.log(smooth / smooth.sum(axis=0, keepdims=True)) if languages else smooth
         prior = np.log(np.array(documents, float) / max(1, sum(documents))) if languages else np.zeros(0)
-        return LanguageModel(tuple(languages), np.rint(log_prob * SCALE).astype(np.int64), np.rint(prior * SCALE).astype(np.int64))
+        return LanguageModel(tuple(languages), np.rint(log_prob * SCALE).astype(np.int32), np.rint(prior * SCALE).astype(np.int64))
+
+    def _add(self, total: np.ndarray, owner: np.ndarray, buckets: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Add the rows of ``buckets`` from begin to end to the totals of their
+        owners, as many at a time as GATHERED numbers hold."""
+        most = max(1, GATHERED // len(self.languages))
+        for a in range(0, len(buckets), most):
+            b = min(len(buckets), a + most)
+            first = np.clip(begin, a, b) - a
+            last = np.clip(end, a, b) - a
+            here = np.flatnonzero(last > first)
+            if len(here):
+                edges = np.stack((first[here], last[here]), 1).ravel()
+                # What follows the last piece, if anything, is padding and counts for none.
+                edges = edges[:-1] if edges[-1] == b - a else edges
+                sums = np.add.reduceat(self.log_prob[buckets[a:b]], edges, axis=0, dtype=np.int64)[::2]
+                np.add.at(total, owner[here], sums)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
@@ -97,11 +117,8 @@ class LanguageModel:
             return [UNDETERMINED] * n, np.zeros(n)
         total = np.tile(self.prior, (n, 1))
         for owner, points, begin, end in _pieces(texts):
-            edges = np.stack((begin, end), 1).ravel()
             for order in ORDERS:
-                rows = self.log_prob[_buckets(points, order)]
-                rows = np.concatenate((rows, np.zeros((len(points) + 1 - len(rows), rows.shape[1]), np.int64)))
-                np.add.at(total, owner, np.add.reduceat(rows, edges, axis=0)[::2])
+                self._add(total, np.array(owner), _buckets(points, order), begin, end)
         share = np.exp((total - total.max(axis=1, keepdims=True)) / SCALE)
         best = total.argmax(axis=1)
         score = share[np.arange(n), best] / share.sum(axis=1)
