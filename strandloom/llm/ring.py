@@ -16,9 +16,12 @@ With ``slack`` 0 shards differ by one row at most (law ``rows``).  With more
 slack a shard takes up to (1 + slack) times its share and fewer rows leave the
 shard of their own point.
 
-Defined results: ids may be null or repeated (rows of one id share a cell and
-are told apart by size and checksum); a null text has size 1 and checksum 0; an
-empty table gives no rows.
+Defined results: rows of one id share a cell and are told apart by size and
+checksum (repeated rows and ties are interchangeable); rows without an id lie in
+the cells of their checksums and sizes, so that they fill no cell however many
+they are; a null or empty text has size 1 and checksum 0; a very long text counts
+as one row; groups of equal texts aren't kept together; an empty table gives no
+rows; columns besides doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,12 +33,15 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm._shared import materialize
+
 CELLS = 1 << 14
 VNODES = 128
 
 
-def cell_of(key: Column, cells: int = CELLS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(cells)).cast("int")
+def cell_of(key: Column, size: Column, crc: Column, cells: int = CELLS) -> Column:
+    h = F.when(key.isNull(), F.xxhash64(crc, size)).otherwise(F.xxhash64(key))
+    return F.pmod(h, F.lit(cells)).cast("int")
 
 
 def points(shards: int, cells: int = CELLS, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -76,8 +82,9 @@ def shard(docs: DataFrame, shards: int = 16, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
     spark = docs.sparkSession
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), cell_of(F.col("doc_id")).alias("cell"))
-    counts = {r["cell"]: r["n"] for r in docs.select(cell_of(F.col("doc_id")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = materialize(rows.withColumn("cell", cell_of(F.col("doc_id"), F.col("size"), F.col("text_crc32"))), "cells")
+    counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     spans = spark.createDataFrame(flow(counts, shards, slack), "span_cell int, lo long, hi long, shard int, base long")
     order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "size", "text_crc32")
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("bigint") - 1)
