@@ -21,12 +21,16 @@ documents, so a task that runs again makes the same file.  Files go to the
 folder that driver and executors share, through any file system that pyarrow
 knows.
 
-Defined results: a null or empty text has the end id alone; equal doc_ids are in
-the order of their ids' bytes; null doc_ids come first.
+Defined results: a null or empty text has the end id alone; a very long text is
+encoded whole, by one task; equal doc_ids (ties, repeated rows) are in the order of
+their ids' bytes and each row is a document; null doc_ids come first; an empty
+table gives no files and no rows; columns besides doc_id and text are neither read
+nor returned.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -98,6 +102,9 @@ class Encoder:
     is encoded by the tokenizers library.  A text with other white space, or with
     the string of a special token, is encoded uncut.
 
+    That holds for byte-level BPE without a normalizer alone, so the tokenizer's own
+    description is asked; with any other, every text is encoded uncut.
+
     Pieces that have been seen in one group of texts wait among the ``young``;
     those seen again are ``known``, as most distinct pieces occur once.
     """
@@ -107,6 +114,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = self._cuts(json.loads(self.tokenizer.to_str()))
         self.pieces = pieces
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -117,6 +125,19 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _cuts(said: dict) -> bool:
+        """Whether a tokenizer's description is that of plain byte-level BPE."""
+        before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        return (
+            not any(said.get(x) for x in ("normalizer", "truncation", "padding"))
+            and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+            and model.get("type") == "BPE"
+            and not any(model.get(x) for x in odd)
+            and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in said.get("added_tokens", ()))
+        )
+
     def many(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(index, ids) of all texts, not in order."""
         held, size = [], 0
@@ -136,7 +157,7 @@ class Encoder:
             yield from self._group(held)
 
     def _uncut(self, text: str) -> bool:
-        return any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE)) or any(x in text for x in self.special)
+        return not self.cuts or any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE)) or any(x in text for x in self.special)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
