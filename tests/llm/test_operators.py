@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -14,7 +15,7 @@ import xxhash
 from helpers import DOC_SCHEMA, awkward, awkward_rows, words
 from pyspark.sql.functions import col as spark_col
 
-from strandloom.llm import decontam, htmltext, langid, lmscore, merkle, mixing, pii, queries, ring, simhash, tokenbin
+from strandloom.llm import _shared, decontam, htmltext, langid, lmscore, merkle, mixing, pii, queries, ring, simhash, tokenbin
 from strandloom.llm._shared import RangeBuckets
 
 
@@ -72,6 +73,64 @@ def test_langid_long_text_is_scored_in_pieces(docs, texts, monkeypatch):
     assert model.predict([text])[0] == whole[0] and model.predict([text])[1] == whole[1]
 
 
+@pytest.mark.parametrize("gathered", [1, 50, 4000])
+def test_langid_scores_some_n_grams_at_a_time(docs, texts, monkeypatch, gathered):
+    model, some = langid.fit(docs), [texts[i] for i in sorted(texts)[:6]] + ["ab", None, "ß", ""]
+    some = [t and t[:300] for t in some]
+    whole = model.predict(some)
+    monkeypatch.setattr(langid, "GATHERED", gathered)
+    got = model.predict(some)
+    assert got[0] == whole[0] and np.array_equal(got[1], whole[1])
+
+
+def plain_buckets(text, order):
+    """The hash of each n-gram that begins in a text, in whole numbers."""
+    points, out = [ord(c) for c in text] + [10] * (max(langid.ORDERS) - 1), []
+    for i in range(len(text)):
+        h = order
+        for p in points[i : i + order]:
+            h = (h ^ p) * 0x9E3779B1 % (1 << 32)
+            h ^= h >> 15
+        out.append(h * 0x85EBCA77 % (1 << 32) >> 16)
+    return out
+
+
+def test_langid_fit_and_prediction_by_brute_force(spark, sf_dir, docs):
+    """Counts, smoothing, prior, held-out rows and prediction without the operator."""
+    rows = [(r["doc_id"], (r["text"] or "")[:400], r["lang"]) for r in docs.collect()]
+    some = spark.createDataFrame(rows + [(None, "nul id", "zz"), (9**9, "x", None)], "doc_id long, text string, lang string")
+    train = [(t, lang) for d, t, lang in rows if lang is not None and zlib.crc32(str(d).encode()) % 5]
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: Counter() for lang in langs}
+    for t, lang in train:
+        for order in langid.ORDERS:
+            counts[lang].update(plain_buckets(t.lower(), order))
+    n = Counter(lang for _, lang in train)
+    model = langid.fit(some)
+    assert model.languages == tuple(langs)
+    log_prob = {lang: {} for lang in langs}
+    for i, lang in enumerate(langs):
+        whole = sum(counts[lang].values()) + 0.1 * langid.BUCKETS
+        assert model.prior[i] == round(np.log(n[lang] / len(train)) * langid.SCALE)
+        for b in range(0, langid.BUCKETS, 97):
+            assert model.log_prob[b, i] == round(np.log((counts[lang][b] + 0.1) / whole) * langid.SCALE)
+        log_prob[lang] = lambda b, c=counts[lang], whole=whole: round(np.log((c[b] + 0.1) / whole) * langid.SCALE)
+    got = {r["doc_id"]: r for r in langid.identify(some).collect()}
+    for d, t, _ in rows[:40]:
+        grams = [b for order in langid.ORDERS for b in plain_buckets(t.lower(), order)]
+        sums = {lang: round(np.log(n[lang] / len(train)) * langid.SCALE) + sum(map(log_prob[lang], grams)) for lang in langs}
+        if re.search(r"[^\W\d_]", t):
+            assert got[d]["lang_pred"] == max(langs, key=sums.get)
+            assert got[d]["score"] == pytest.approx(1 / sum(np.exp((x - max(sums.values())) / langid.SCALE) for x in sums.values()))
+
+
+def test_langid_very_long_text(spark, docs, texts):
+    text = next(t for t in texts.values() if t and len(t) > 500)
+    rows = [(1, text, "en"), (2, text * 4000, "en")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.fit(docs)).collect()}
+    assert got[1] == got[2]
+
+
 def test_langid_awkward(spark):
     got = {(r["doc_id"], i): r for i, r in enumerate(langid.identify(awkward(spark)).collect())}
     assert len(got) == len(awkward_rows())
@@ -165,6 +224,38 @@ def test_ring(spark, sf_dir, texts):
     assert max(counts) - min(counts) <= 1
 
 
+def plain_ring(ids, shards):
+    """Shard and slot of each id, one id at a time."""
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+    first = {d: xxhash.xxh64_intdigest(struct.pack("<q", d), 42) for d in ids}
+    second = {d: signed(xxhash.xxh64_intdigest(struct.pack("<i", 1), h)) for d, h in first.items()}
+    cell = {d: signed(h) % ring.CELLS for d, h in first.items()}
+    room = [len(ids) // shards + (s < len(ids) % shards) for s in range(shards)]
+    points = sorted((int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:8], "big"), s) for s in range(shards) for v in range(ring.VNODES))
+    spots = [(h * ring.CELLS >> 64, s) for h, s in points]
+    out = {}
+    for d in sorted(ids, key=lambda d: (cell[d], second[d], d)):
+        clockwise = [s for c, s in spots if c >= cell[d]] + [s for _, s in spots]
+        s = next(s for s in clockwise if room[s])
+        out[d] = (s, len([x for x in out.values() if x[0] == s]))
+        room[s] -= 1
+    return out
+
+
+def test_ring_query_by_brute_force(spark, sf_dir, texts):
+    want = plain_ring(list(texts), 16)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in run(spark, "op3_ring", sf_dir)} == want
+
+
+def test_ring_rows_without_an_id_fill_no_cell(spark):
+    docs = spark.range(2000).selectExpr("cast(null as bigint) as doc_id", "concat('text ', id) as text")
+    raw = docs.selectExpr("doc_id", "cast(length(text) + 1 as bigint) as size", "crc32(cast(text as binary)) as crc")
+    most = raw.groupBy(ring.cell_of(raw.doc_id, raw["size"], raw.crc).alias("c")).count().agg({"count": "max"}).first()[0]
+    assert most < 10
+    rows = ring.shard(docs, 4).collect()
+    assert Counter(r["shard"] for r in rows) == {s: 500 for s in range(4)} and all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(500)) for s in range(4))
+
+
 def test_ring_flow_equals_a_walk_of_single_keys():
     counts = {c: n for c, n in [(3, 5), (40, 1), (41, 30), (900, 14), (16000, 9)]}
     for slack in (0.0, 0.3):
@@ -227,6 +318,18 @@ def test_encoder_equals_the_tokenizer():
     assert [got[i].tolist() for i in range(len(odd) * 3)] == [x[:-1] for x in whole_ids(odd)] * 3
 
 
+def test_encoder_cuts_for_plain_byte_level_tokenizers_alone():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, plain = tokenbin.Encoder(path), Tokenizer.from_file(path)
+    assert not other.cuts and tokenbin.Encoder(tokenbin.default_tokenizer()).cuts
+    odd = ["Hello  World's end", "A.b,c", "", "x" * 300, "Ünï code 1 23"]
+    got = dict(other.many(odd))
+    assert [got[i].tolist() for i in range(len(odd))] == [plain.encode(x, add_special_tokens=False).ids for x in odd]
+
+
 def check_tokens(got, ordered):
     start, want = 0, []
     for (doc_id, _), ids in zip(ordered, whole_ids([t for _, t in ordered])):
@@ -702,7 +805,7 @@ def test_simhash_one_row_for_each_document(spark, monkeypatch):
 
 
 def test_simhash_common_keys(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COMMON", 2)
+    monkeypatch.setattr(_shared, "COMMON", 2)
     r = np.random.default_rng(3)
     words = [f"w{i}" for i in range(500)]
     texts = [" ".join(r.choice(words, 60)) for _ in range(20)]
@@ -998,6 +1101,24 @@ def test_lm_awkward(spark):
     assert lmscore.score(empty(spark)).count() == 0
 
 
+# work files
+
+
+def test_work_files_are_removed(spark):
+    import os
+
+    def there(path):
+        return os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+    with _shared.work_files(spark) as own:
+        kept = _shared.materialize(spark.range(3), "kept", keep=True)
+        gone = _shared.materialize(spark.range(4), "gone")
+        assert gone.count() == 4
+    assert [there(p) for p in own] == [True, False] and kept.count() == 3
+    _shared.discard(spark, own)
+    assert not there(own[0])
+
+
 # ranges of ids
 
 
