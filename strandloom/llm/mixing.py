@@ -62,15 +62,42 @@ def targets(sizes: list[tuple[str | None, int]], share: Fraction = Fraction(3, 2
     return {s: float(x) for s, x in out.items()}
 
 
+def distributed_targets(sources: DataFrame, share: Fraction, cap: int, weights: tuple[int, ...]) -> DataFrame:
+    """``targets`` of a table of sources (is_null, name, n) too long for the driver:
+    is_null, name, source_size and target.  What each round fills up is found by a
+    sum over the table; only sums and the rows of each partition are collected."""
+    ranked = materialize(sources.orderBy("is_null", "name").withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, before, begins = F.shiftright("at", 33), 0, {}
+    for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.sum("n").alias("words")).orderBy("p").collect():
+        begins[r["p"]], before = (before, r["words"]), before + r["n"]
+    if not begins:
+        return ranked.select("is_null", "name", F.col("n").alias("source_size"), F.lit(0.0).alias("target"))
+    first = F.create_map(*[F.lit(x) for p, (b, _) in begins.items() for x in (p, b)])
+    place = F.element_at(first, part) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weigh = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    rows = ranked.select("is_null", "name", F.col("n").alias("source_size"), weigh.alias("w"))
+    whole, unit, filled = share * sum(w for _, w in begins.values()), Fraction(0), None
+    while True:
+        full = F.col("w") * F.lit(float(unit)) > cap * F.col("source_size")
+        got = rows.agg(F.sum(F.when(full, cap * F.col("source_size"))).alias("words"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if got["w"] is None or (got["words"] or 0, got["w"]) == filled:
+            break
+        filled = got["words"] or 0, got["w"]
+        unit = (whole - filled[0]) / filled[1]
+    target = F.least((cap * F.col("source_size")).cast("double"), F.col("w") * F.lit(float(unit)))
+    return rows.select("is_null", "name", "source_size", target.alias("target"))
+
+
 def _hex(key: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, digits), 16, 10).cast("bigint")
 
 
-def mix(docs: DataFrame, share: Fraction = Fraction(3, 2), cap: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, max_sources: int = 1_000_000, extra: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, share: Fraction = Fraction(3, 2), cap: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, driver_sources: int = 100_000, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every document.
 
-    The sources with their sizes come to the driver; ``max_sources`` bounds them
-    and more is an error.  ``extra`` columns of ``docs`` are carried along.
+    Up to ``driver_sources`` sources with their sizes come to the driver; targets of
+    more are found by sums over their table.  ``extra`` columns of ``docs`` are
+    carried along.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *extra)
@@ -86,14 +113,16 @@ def mix(docs: DataFrame, share: Fraction = Fraction(3, 2), cap: int = 2, weights
     rows = rows.withColumn("cell", band * fine + sub)
     key = ["is_null", "name", "cell"]
     counts = materialize(rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
-    found = [(r["is_null"], r["name"], r["n"]) for r in counts.groupBy("is_null", "name").agg(F.sum("words").alias("n")).limit(max_sources + 1).collect()]
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    aims = targets([(None if null else s, n) for null, s, n in found], share, cap, weights)
-    table = spark.createDataFrame([(null, s, n, aims[None if null else s]) for null, s, n in found], "is_null boolean, name string, source_size long, target double")
+    sources = counts.groupBy("is_null", "name").agg(F.sum("words").alias("n"))
+    found = [(r["is_null"], r["name"], r["n"]) for r in sources.limit(driver_sources + 1).collect()]
+    if len(found) > driver_sources:
+        table = distributed_targets(sources, share, cap, weights)
+    else:
+        aims = targets([(None if null else s, n) for null, s, n in found], share, cap, weights)
+        table = F.broadcast(spark.createDataFrame([(null, s, n, aims[None if null else s]) for null, s, n in found], "is_null boolean, name string, source_size long, target double"))
     before = Window.partitionBy("is_null", "name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "words")
-    cells = cells.join(F.broadcast(table), ["is_null", "name"])
+    cells = cells.join(table, ["is_null", "name"])
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id"))
     placed = rows.withColumn("rank", rank).join(cells, key)
     # A random number in [0, 1) for each source.

@@ -525,6 +525,21 @@ def test_mixing(spark):
     assert all(r["source_size"] == sizes[docs[r["doc_id"]]["source"]] for r in rows)
 
 
+def test_targets_of_many_sources(spark):
+    """By sums over a table, as on the driver."""
+    r = random.Random(3)
+    sizes = [(f"s{i}", r.choice((0, 1, 5, 40, 900))) for i in range(200)] + [(None, 7), ("ü", 3)]
+    want = mixing.targets(sizes)
+    table = spark.createDataFrame([(s is None, s or "", n) for s, n in sizes], "is_null boolean, name string, n long").repartition(5)
+    got = mixing.distributed_targets(table, Fraction(3, 2), 2, mixing.WEIGHTS).collect()
+    assert len(got) == len(sizes)
+    assert {None if x["is_null"] else x["name"]: x["target"] for x in got} == pytest.approx(want)
+    assert mixing.distributed_targets(table.limit(0), Fraction(3, 2), 2, mixing.WEIGHTS).count() == 0
+    docs = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 30}") for i in range(400)], "doc_id long, text string, source string")
+    same = lambda **x: Counter((d["doc_id"], d["copies"], round(d["target"], 6)) for d in mixing.mix(docs, **x).collect())
+    assert same(driver_sources=3) == same()
+
+
 def test_mixing_cells_grow_with_the_table(spark, monkeypatch):
     assert [mixing.subcells(n) for n in (0, 10**6, 16 * 10**5, 16 * 10**5 + 1, 10**9)] == [32, 32, 32, 64, 32768]
     docs = spark.range(4000).selectExpr("id as doc_id", "'a b c' as text", "cast(null as string) as source")
