@@ -75,13 +75,11 @@ def _hits(widths: list[int], bitmap: Column, bits: int) -> Column:
     w, hashes = F.col("w"), F.col("hashes")
     found = F.array().cast("array<struct<at:int,width:int,gram:string>>")
 
-    def may_hit(i: Column, width: int) -> Column:
-        # One lookup: a second one would hash the words again.
-        return F.transform(F.array(_hash_at(hashes, i, width).bitwiseAND(F.lit(bits - 1))), lambda h: F.getbit(F.get(bitmap, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)[0]
-
     def of_width(width: int) -> Column:
         starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
-        inside = F.filter(starts, lambda i: may_hit(i, width))
+        spots = F.transform(starts, lambda i: _hash_at(hashes, i, width).bitwiseAND(F.lit(bits - 1)))
+        bit = lambda h: F.getbit(F.get(bitmap, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int"))
+        inside = F.array_compact(F.transform(spots, lambda h, i: F.when(bit(h) == 1, i)))
         return F.transform(inside, lambda i: F.struct((i + 1).alias("at"), F.lit(width).alias("width"), F.array_join(F.slice(w, i + 1, width), " ").alias("gram")))
 
     return F.concat(found, *[of_width(k) for k in widths])
