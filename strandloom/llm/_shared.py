@@ -193,3 +193,49 @@ def slice_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return h
+
+
+#: Bytes of text that are cut into words together.
+PIECE = 1 << 19
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + 1
+_LOWER[65:91] += 32
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash, and first byte, of each word; A-Z count as lower case."""
+    raw = np.frombuffer(data, np.uint8)
+    space = np.concatenate(([True], _SPACE[raw], [True]))
+    start = np.flatnonzero(space[:-1] & ~space[1:])
+    end = np.flatnonzero(~space[:-1] & space[1:])
+    return slice_hashes(_LOWER[raw], start, end), start
+
+
+def word_hashes(texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Hashes of the words of whole texts, for some texts at a time."""
+    which, held, size = [], [], 0
+    for i, text in enumerate([*texts, None]):
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if held and (size + len(data) > PIECE or i == len(texts)):
+            begin = np.cumsum([0, *[len(x) + 1 for x in held]])
+            h, at = _hashes(b"\n".join(held))
+            cut = np.searchsorted(at, begin)
+            yield which, [h[a:b] for a, b in zip(cut, cut[1:])]
+            which, held, size = [], [], 0
+        if i == len(texts):
+            break
+        if len(data) > PIECE:
+            parts, a = [], 0
+            while a < len(data):
+                b = min(len(data), a + PIECE)
+                # Back to white space, so that no word is cut but one as long as a piece.
+                back = max(data.rfind(b" ", a, b), data.rfind(b"\n", a, b))
+                b = back + 1 if b < len(data) and back > a else b
+                parts.append(_hashes(data[a:b])[0])
+                a = b
+            yield [i], [np.concatenate(parts)]
+        else:
+            which.append(i)
+            held.append(data)
+            size += len(data) + 1

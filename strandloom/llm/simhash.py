@@ -18,6 +18,16 @@ grows with its rows, not with the square of a group.  A key with more than
 blocks over many tasks.  Groups of links become components by repeated
 contraction to a neighbour, with a table written in each round.
 
+``keep_one`` follows the rule for near-duplicates in general: sets of shingles of
+five words with a similarity (Jaccard index) of 0.8 or more, as 128 bits tell it.
+Similar sets of sizes a and b, of which one is a quarter larger at most, differ in
+a share of arccos(2J / (1 + J)) / pi of the bits, 19.4 of 128 at J = 0.8.  So
+fingerprints are linked that differ in ``WIDE_TOTAL`` (20) of 128 bits at most and
+in half as many of the first 64, and whose numbers of shingles are in the same
+band or in neighbouring ones, each a quarter wider than the one before.  The first
+64 bits are a ring of four segments with budgets of 2, 5, 7 and 10 bits; two values
+of a segment that differ in two bits meet where each has one of them turned.
+
 Defined results: null and empty texts have fingerprint 0 and are linked like any
 other; texts of fewer words than a shingle are one shingle; a very long text is
 read whole, its shingles added up some at a time; a bit that is set in just half
@@ -38,8 +48,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from strandloom.llm._shared import labelled, materialize, short_batches
+from strandloom.llm._shared import labelled, materialize, short_batches, word_hashes
 
 SHINGLE = 4
 SEED = 42
@@ -47,6 +58,12 @@ DISTANCE = 4
 #: Bits of the five segments of the ring.
 RING = (13, 13, 13, 13, 12)
 HOT = 4096
+#: Ids of 8 bytes that ``keep_one`` broadcasts.
+BROADCAST_IDS = 500_000
+#: The rule of keep_one, rows of a key that one task compares, and rows of a key
+#: from which on it looks for whole groups.
+WIDE_SHINGLE, WIDE_DISTANCE, WIDE_TOTAL, WIDE_HOT, LONG_RUN = 5, 10, 20, 1 << 14, 256
+_SEGMENTS, _SEGMENT_BITS = 4, 16
 #: Shingles whose bits are added up together.
 PIECE = 1 << 16
 
@@ -256,11 +273,17 @@ def _hot_links(rows: DataFrame, hot: int) -> DataFrame:
             a, b = _compare(group, fp.view(np.uint64), probe.astype(bool), key >> 32)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
+    paired = _block_pairs(rows, hot).select("grp", "key", F.col("a").alias("fp"), "probe")
+    return paired.repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _block_pairs(rows: DataFrame, hot: int) -> DataFrame:
+    """``rows`` of hot keys in blocks of ``hot``, each dealt to a group (``grp``) for
+    each pair of blocks of its key that it is in."""
     sizes = rows.groupBy("key").agg(((F.max("rank") / hot).cast("int")).alias("most"))
     own = rows.join(sizes, "key").withColumn("block", (F.col("rank") / hot).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most"))))
-    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("grp")
-    return paired.select(group, "key", F.col("a").alias("fp"), "probe").repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(compare, "a bigint, b bigint")
+    return paired.withColumn("grp", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -310,26 +333,219 @@ def components(edges: DataFrame) -> DataFrame:
     return every.where("node <> low").select("node", F.col("low").alias("root"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that depend on all bits of x."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_fingerprint_of(words: np.ndarray, shingle: int = WIDE_SHINGLE) -> tuple[int, int, int]:
+    """Both halves of the fingerprint of a text's set of shingles, and their number.
+    ``words`` are the hashes of its words; fewer than a shingle are one."""
+    if not len(words):
+        return 0, 0, 0
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    made = np.full(n, k, np.uint64)
+    for j in range(k):
+        made = _mixed(made) + words[j : j + n]
+    made = np.unique(made)
+    halves = []
+    for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(made), PIECE):
+            bits = _mixed(made[i : i + PIECE] + np.uint64(salt)).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        halves.append(int(((2 * ones > len(made)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()))
+    return halves[0], halves[1], len(made)
+
+
+def _node(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A name of 64 bits for 128."""
+    return _mixed(_mixed(low) + high)
+
+
+def band(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(1.25) + 1e-9).astype(np.int64)
+
+
+def _wide_listings(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, low, high): each fingerprint under its four segments, and under those
+    with one bit turned, in its own band and the next."""
+    keys = []
+    for i in range(_SEGMENTS):
+        own = low >> np.uint64(_SEGMENT_BITS * i) & np.uint64((1 << _SEGMENT_BITS) - 1)
+        for turned in (0, *(1 << b for b in range(_SEGMENT_BITS))):
+            for step in (0, 1):
+                place = (band(size) + step << 2 | i) << _SEGMENT_BITS
+                keys.append(place | (own ^ np.uint64(turned)).astype(np.int64))
+    return np.concatenate(keys), np.tile(low, len(keys)), np.tile(high, len(keys))
+
+
+def _wide_linked(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether rows a and b, which are listed by their segments ``start``, are linked:
+    the chain of segments from there on keeps to its budgets, then all bits to theirs."""
+    ok = np.zeros(len(a), bool)
+    left, differ, total = np.arange(len(a)), low[a] ^ low[b], np.zeros(len(a), np.int64)
+    for length in range(1, _SEGMENTS + 1):
+        at = ((start[left] + length - 1) % _SEGMENTS * _SEGMENT_BITS).astype(np.uint64)
+        total = total + np.bitwise_count(differ >> at & np.uint64((1 << _SEGMENT_BITS) - 1))
+        keep = total <= length * WIDE_DISTANCE // _SEGMENTS
+        left, differ, total = left[keep], differ[keep], total[keep]
+    ok[left] = total + np.bitwise_count(high[a[left]] ^ high[b[left]]) <= WIDE_TOTAL
+    return ok
+
+
+def _spread(begin: int, end: int, linked) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links that connect what is connected among rows of one key: from row to row,
+    each looks for those that aren't reached yet.  A dense group takes time in
+    proportion to its rows."""
+    u, v, rest = [], [], np.arange(begin, end)
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            some, front = front[:64], front[64:]
+            a, b = np.repeat(some, len(rest)), np.tile(rest, len(some))
+            met = linked(a, b).reshape(len(some), len(rest))
+            hit = met.any(axis=0)
+            if hit.any():
+                u.append(some[met.argmax(axis=0)[hit]])
+                v.append(rest[hit])
+                front, rest = np.concatenate((front, rest[hit])), rest[~hit]
+    return u, v
+
+
+def _wide_compare(keys: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links among rows with equal keys, which are adjacent."""
+    nodes = _node(low, high)
+    change = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
+    length = np.diff(change)
+    linked = lambda a, b: _wide_linked(low, high, a, b, start[a])
+    left, right, kept = [], [], 0
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal left, right, kept
+        left.append(nodes[a])
+        right.append(nodes[b])
+        kept += len(a)
+        if kept > 1 << 20:
+            x, y = _forest(np.concatenate(left), np.concatenate(right))
+            left, right, kept = [x], [y], len(x)
+
+    for i in np.flatnonzero(length > LONG_RUN):
+        for a, b in zip(*_spread(change[i], change[i + 1], linked)):
+            take(a, b)
+    end = np.repeat(np.where(length > LONG_RUN, 0, change[1:]), length)
+    rows, by = np.arange(len(keys)), 1
+    while len(rows := rows[rows + by < end[rows]]):
+        for i in range(0, len(rows), 1 << 18):
+            a = rows[i : i + (1 << 18)]
+            a = a[linked(a, a + by)]
+            if len(a):
+                take(a, a + by)
+        by += 1
+    if not left:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return _forest(np.concatenate(left), np.concatenate(right))
+
+
+_WIDE_LINK = "a bigint, b bigint, key bigint, low bigint, high bigint, rank bigint"
+
+
+def _wide_emit(n: int, **given: np.ndarray) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _WIDE_LINK.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(given[x].view(np.int64)) if x in given else pa.nulls(n, pa.int64()) for x in names], names)
+
+
+def wide_links(fps: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
+    """(a, b): a forest that connects all linked fingerprints of the distinct ones in
+    low, high and size, by their nodes."""
+
+    def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for i in range(0, len(low), 4000):
+                cut = slice(i, i + 4000)
+                key, x, y = _wide_listings(low[cut].view(np.uint64), high[cut].view(np.uint64), size[cut])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["key", "low", "high"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, (key, low, high), before in _stream(batches, hot):
+            change = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            length = np.repeat(np.diff(change), np.diff(change))
+            much = np.ones(len(key), bool) if kind == "hot" else length > hot
+            if much.any():
+                rank = before + np.arange(len(key)) - np.repeat(change[:-1], np.diff(change))
+                yield _wide_emit(int(much.sum()), key=key[much], low=low[much], high=high[much], rank=rank[much])
+            key, low, high = key[~much], low[~much].view(np.uint64), high[~much].view(np.uint64)
+            a, b = _wide_compare(key, low, high, key >> _SEGMENT_BITS & 3)
+            if len(a):
+                yield _wide_emit(len(a), a=a, b=b)
+
+    def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (group, key, low, high), _ in _stream(batches, 1 << 40):
+            a, b = _wide_compare(group, low.view(np.uint64), high.view(np.uint64), key >> _SEGMENT_BITS & 3)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    listed = fps.select("low", "high", "size").mapInArrow(list_keys, "key bigint, low bigint, high bigint")
+    found = materialize(listed.repartition("key").sortWithinPartitions("key", "low", "high").mapInArrow(compare, _WIDE_LINK), "links")
+    paired = _block_pairs(found.where("b is null"), hot).select("grp", "key", "low", "high")
+    more = paired.repartition("grp").sortWithinPartitions("grp", "low", "high").mapInArrow(compare_blocks, "a bigint, b bigint")
+    return found.where("b is not null").select("a", "b").unionByName(more)
+
+
+def _wide_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (its node), low, high and size of every document."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = np.zeros((3, batch.num_rows), np.uint64)
+            for which, groups in word_hashes(batch.column("text").to_pylist()):
+                for i, words in zip(which, groups):
+                    cols[:, i] = wide_fingerprint_of(words)
+            parts = [_node(cols[0], cols[1]), *cols]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x.view(np.int64)) for x in parts]], ["doc_id", "fp", "low", "high", "size"])
+
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *[StructField(x, LongType()) for x in ("fp", "low", "high", "size")]])
+    return materialize(docs.select("doc_id", "text").mapInArrow(made, schema), "fingerprints")
+
+
+def _named(rows: DataFrame, least: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id: the smallest doc_id of the fingerprints that
+    ``roots`` connects.  ``least`` has rep and n, its own and its documents' number,
+    of each fingerprint."""
+    member = materialize(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("top")), "members")
+    names = materialize(member.groupBy("top").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "names")
+    of_fp = materialize(labelled(member, "top", names, "component_id").select("fp", "n", "component_id"), "components")
+    return labelled(rows, "fp", of_fp, "component_id").select("doc_id", "fp", "component_id")
+
+
+def wide_grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of every document, by the rule of ``keep_one``."""
+    short_batches(docs.sparkSession)
+    rows = _wide_rows(docs)
+    least = materialize(rows.groupBy("fp", "low", "high").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("size").alias("size")), "distinct")
+    return _named(rows.select("doc_id", "fp"), least.select("fp", "rep", "n"), _contracted(wide_links(least)))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every document."""
     short_batches(docs.sparkSession)
     rows = materialize(docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
-    roots = _contracted(links(least))
-    # Components of fingerprints; the smallest doc_id of each is its name.
-    member = materialize(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("top")), "members")
-    names = materialize(member.groupBy("top").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "names")
-    of_fp = materialize(labelled(member, "top", names, "component_id").select("fp", "n", "component_id"), "components")
-    return labelled(rows, "fp", of_fp, "component_id").select("doc_id", "fp", "component_id")
+    return _named(rows, least, _contracted(links(least)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id, with its
-    columns as they are.  Rows of one doc_id count as one document; rows without
-    one can't be told apart and stay."""
-    spare = grouped(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_sl_id")).distinct()
-    return docs.join(spare, docs["doc_id"] == F.col("_sl_id"), "left_anti")
+def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One document of each component of near-duplicates (five words, similarity
+    0.8), that with the smallest id, with its columns as they are.  Rows of one doc_id count as one document; rows without
+    one can't be told apart and stay.  Up to ``broadcast_ids`` ids to drop are
+    broadcast, so the texts aren't shuffled."""
+    spare = materialize(wide_grouped(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_sl_id")).distinct(), "spare")
+    few = spare.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return docs.join(F.broadcast(spare) if few else spare, docs["doc_id"] == F.col("_sl_id"), "left_anti")

@@ -442,10 +442,10 @@ def leaking():
     return noise, leaks, (7, "zanzibar alone has nothing to protect")
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_pii_terms(spark, limit, monkeypatch):
-    """By a broadcast and by a shuffle."""
-    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+@pytest.mark.parametrize("common", [2, 1000])
+def test_pii_terms(spark, common, monkeypatch):
+    """With terms and entities that are joined as common ones, and without."""
+    monkeypatch.setattr(_shared, "COMMON", common)
     noise, leaks, alone = leaking()
     both = spark.createDataFrame([*noise, *leaks, alone], "doc_id long, text string")
     rows = pii.personal_data(both).collect()
@@ -774,6 +774,100 @@ def test_simhash_links_lose_nothing(spark, hot):
     assert got == {s: of[s & (1 << 64) - 1] for s in signed}
 
 
+def plain_wide(texts):
+    """Component (smallest doc_id) of each document, by comparing all pairs."""
+    prints = {}
+    for d, t in texts:
+        h = [x for _, g in _shared.word_hashes([t]) for x in g]
+        prints[d] = simhash.wide_fingerprint_of(h[0] if h else np.zeros(0, np.uint64))
+    size = {}
+    for low, high, n in prints.values():
+        size[low, high] = max(n, size.get((low, high), 0))
+    root = {d: d for d in prints}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, x in prints.items():
+        for b, y in prints.items():
+            near = bin(x[0] ^ y[0]).count("1")
+            bands = [int(simhash.band(np.array([size[p[:2]]]))[0]) for p in (x, y)] if a < b and near <= 10 else [0, 9]
+            if near + bin(x[1] ^ y[1]).count("1") <= 20 and abs(bands[0] - bands[1]) <= 1:
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {d: find(d) for d in prints}
+
+
+def altered(text, share, r):
+    w = text.split()
+    for _ in range(max(1, round(len(w) * share))):
+        w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("hot,run", [(7, 2), (1 << 14, 3), (1 << 14, 256)])
+def test_keep_one_by_brute_force(spark, hot, run, monkeypatch):
+    """By hot keys in blocks, by long runs, and by short ones."""
+    monkeypatch.setattr(simhash, "LONG_RUN", run)
+    links = simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda fps: links(fps, hot))
+    r = random.Random(hot + run)
+    base = [words(r.choice((3, 40, 200, 400)), i, 5000) for i in range(25)]
+    texts = base + [altered(t, r.choice((0.005, 0.01, 0.02, 0.05)), r) for t in base for _ in range(4)] + [base[0]] * 3 + [None, "", " ", "a b", "a b"]
+    texts = list(enumerate(texts))
+    want = plain_wide(texts)
+    got = simhash.wide_grouped(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and {x["doc_id"]: x["component_id"] for x in got} == want
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(want.values()))
+
+
+def test_long_runs_and_short_ones_connect_the_same():
+    r = np.random.default_rng(5)
+    centres = r.integers(0, 1 << 64, (40, 2), dtype=np.uint64)
+    rows = []
+    for low, high in centres:
+        for _ in range(25):
+            x = [int(low), int(high)]
+            for b in r.integers(0, 128, r.integers(0, 14)):
+                x[b // 64] ^= 1 << int(b % 64)
+            rows.append(x)
+    low, high = np.array(rows, np.uint64).T.copy()
+    keys, start = np.zeros(len(low), np.int64), np.full(len(low), 2)
+    found = []
+    for run in (10**9, 1):
+        simhash.LONG_RUN, before = run, simhash.LONG_RUN
+        try:
+            a, b = simhash._wide_compare(keys, low, high, start)
+        finally:
+            simhash.LONG_RUN = before
+        found.append(dict(zip(a.tolist(), b.tolist())))
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_keep_one_finds_pairs_of_a_similarity_of_0_8():
+    """Recall by similarity of the sets of five words; unlike texts stay apart."""
+    r, seen = random.Random(8), {}
+    for i in range(1500):
+        a = words(r.randrange(60, 500), i, 20_000)
+        b = altered(a, r.choice((0.004, 0.008, 0.012, 0.016, 0.02, 0.03)), r)
+        (x, y) = (simhash.wide_fingerprint_of(next(_shared.word_hashes([t]))[1][0]) for t in (a, b))
+        near = bin(x[0] ^ y[0]).count("1")
+        linked = near <= 10 and near + bin(x[1] ^ y[1]).count("1") <= 20
+        seen.setdefault(int(jaccard(a, b) * 20) / 20, []).append(linked)
+    share = {j: sum(x) / len(x) for j, x in seen.items() if len(x) >= 20}
+    print({j: round(x, 2) for j, x in sorted(share.items())})
+    assert share[0.95] > 0.98 and share[0.9] > 0.9 and share[0.8] > 0.4
+    assert all(x < 0.25 for j, x in share.items() if j < 0.7)
+
+
 def test_components_of_long_paths(spark):
     n = 200
     order = np.random.default_rng(1).permutation(n).tolist()
@@ -835,8 +929,9 @@ def test_simhash_awkward(spark):
     rows = simhash.near_duplicates(awkward(spark)).collect()
     of = brute_components([(r[0], simhash_of(r[1])) for r in awkward_rows()])
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows) == Counter((x[0], f"{simhash_of(x[1]):016x}", of[simhash_of(x[1])]) for x in awkward_rows())
-    kept = simhash.keep_one(awkward(spark))
-    assert kept.columns == awkward(spark).columns
+    kept = [simhash.keep_one(awkward(spark), n) for n in (0, 500_000)]
+    assert kept[0].columns == awkward(spark).columns
+    assert Counter(kept[0].collect()) == Counter(kept[1].collect())
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
@@ -913,6 +1008,7 @@ def test_decontaminate(spark, tricky):
     b = spark.createDataFrame(items, "item_id long, text string")
     out = decontam.decontaminate(d, b)
     assert out.columns == d.columns
+    assert Counter(out.collect()) == Counter(decontam.decontaminate(d, b, broadcast_hits=0).collect())
     got = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect())
     for i, t in texts:
         _, n_hit, n_items, _, gone = plain_hits(t, items)
@@ -969,14 +1065,14 @@ def test_lm_trains_on_every_position(spark):
 def test_lm_scores_equal_a_plain_sum(spark, docs, texts):
     voc = lmscore.vocabulary(docs)
     net = lmscore.Network.fresh(voc.per_class)
-    count = Counter(int(lmscore._bucket(lmscore._hashes(w)[0])[0]) for t in texts.values() for w in t.encode().split())
+    count = Counter(int(lmscore._bucket(_shared._hashes(w)[0])[0]) for t in texts.values() for w in t.encode().split())
     of_id = Counter()
     for bucket, n in count.items():
         of_id[int(voc.ids[bucket])] += n
     assert voc.words == sum(count.values()) and len(of_id) <= voc.size
     rows = lmscore.score(docs, voc, net).collect()
     for r in rows[:15]:
-        buckets = [int(lmscore._bucket(lmscore._hashes(x)[0])[0]) for x in texts[r["doc_id"]].encode().split()]
+        buckets = [int(lmscore._bucket(_shared._hashes(x)[0])[0]) for x in texts[r["doc_id"]].encode().split()]
         ids = [int(voc.ids[x]) for x in buckets]
         pad = [voc.size] * 2
         ring_ = pad + ids + pad
@@ -1103,9 +1199,9 @@ def test_lm_tells_words_from_junk(spark):
 
 def test_lm_long_text_is_cut_at_white_space(monkeypatch):
     text = words(3000)
-    whole = np.concatenate([h for _, g in lmscore.word_hashes([text]) for h in g])
-    monkeypatch.setattr(lmscore, "PIECE", 500)
-    assert np.array_equal(np.concatenate([h for _, g in lmscore.word_hashes([text]) for h in g]), whole)
+    whole = np.concatenate([h for _, g in _shared.word_hashes([text]) for h in g])
+    monkeypatch.setattr(_shared, "PIECE", 500)
+    assert np.array_equal(np.concatenate([h for _, g in _shared.word_hashes([text]) for h in g]), whole)
 
 
 def test_lm_awkward(spark):

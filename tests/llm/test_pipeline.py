@@ -9,7 +9,7 @@ from collections import Counter
 import corpus_pipeline
 from helpers import DOC_SCHEMA, awkward_rows, words
 from strandloom.llm import _shared, mixing
-from test_operators import brute_components, plain_hits, simhash_of, whole_ids
+from test_operators import plain_hits, plain_wide, whole_ids
 import numpy as np
 
 
@@ -44,10 +44,9 @@ def test_stages_by_brute_force(spark, sf_dir):
     assert known.columns == docs.columns and known.count() == docs.count()
 
     one = stage["near_dedup"](spark, known, sf_dir)
-    fps = [(r["doc_id"], simhash_of(r["text"])) for r in known.collect()]
-    of = brute_components(fps)
+    of = plain_wide([(r["doc_id"], r["text"]) for r in known.collect()])
     rows = {r["doc_id"]: r for r in one.collect()}
-    assert one.columns == docs.columns and set(rows) == {d for d, f in fps if of[f] == d}
+    assert one.columns == docs.columns and set(rows) == set(of.values())
 
     clean = stage["decontamination"](spark, one, sf_dir)
     got = {r["doc_id"]: r for r in clean.collect()}
