@@ -273,17 +273,11 @@ def _hot_links(rows: DataFrame, hot: int) -> DataFrame:
             a, b = _compare(group, fp.view(np.uint64), probe.astype(bool), key >> 32)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    paired = _block_pairs(rows, hot).select("grp", "key", F.col("a").alias("fp"), "probe")
-    return paired.repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(compare, "a bigint, b bigint")
-
-
-def _block_pairs(rows: DataFrame, hot: int) -> DataFrame:
-    """``rows`` of hot keys in blocks of ``hot``, each dealt to a group (``grp``) for
-    each pair of blocks of its key that it is in."""
     sizes = rows.groupBy("key").agg(((F.max("rank") / hot).cast("int")).alias("most"))
     own = rows.join(sizes, "key").withColumn("block", (F.col("rank") / hot).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most"))))
-    return paired.withColumn("grp", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("grp")
+    return paired.select(group, "key", F.col("a").alias("fp"), "probe").repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -450,7 +444,7 @@ def _wide_compare(keys: np.ndarray, low: np.ndarray, high: np.ndarray, start: np
     return _forest(np.concatenate(left), np.concatenate(right))
 
 
-_WIDE_LINK = "a bigint, b bigint, key bigint, low bigint, high bigint, rank bigint"
+_WIDE_LINK = "a bigint, b bigint, key bigint, low bigint, high bigint, near bigint, rank bigint"
 
 
 def _wide_emit(n: int, **given: np.ndarray) -> pa.RecordBatch:
@@ -458,6 +452,46 @@ def _wide_emit(n: int, **given: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(given[x].view(np.int64)) if x in given else pa.nulls(n, pa.int64()) for x in names], names)
 
 
+class _Hot:
+    """Rows of a hot key, as they come: links of those near its first row to that
+    row, and all rows with what they are (``near`` or not) and their rank among such."""
+
+    def __init__(self):
+        self.key, self.counts = None, [0, 0]
+
+    def told(self, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.key != key[0]:
+            self.key, self.counts, self.first = key[0], [0, 0], (low[:1], high[:1])
+        x, y = np.concatenate((self.first[0], low)).view(np.uint64), np.concatenate((self.first[1], high)).view(np.uint64)
+        start = np.full(len(x), int(key[0]) >> _SEGMENT_BITS & 3)
+        near = _wide_linked(x, y, np.zeros(len(low), np.int64), np.arange(1, len(x)), start)
+        rank = np.empty(len(low), np.int64)
+        for kind in (0, 1):
+            rows = near == bool(kind)
+            rank[rows] = self.counts[kind] + np.arange(rows.sum())
+            self.counts[kind] += int(rows.sum())
+        nodes = _node(x, y)
+        if near.any():
+            yield _wide_emit(int(near.sum()), a=nodes[1:][near], b=np.repeat(nodes[:1], near.sum()))
+        yield _wide_emit(len(low), key=key, low=low, high=high, near=near.astype(np.int64), rank=rank)
+
+
+def _wide_block_pairs(rows: DataFrame, hot: int) -> DataFrame:
+    """Rows of hot keys in blocks of ``hot``, each dealt to a group (``grp``) for each
+    pair of blocks that it is in.  Rows near the key's first row are connected, so
+    their blocks are met with those of other rows alone: a dense group, however
+    large, is dealt as often as there are blocks of rows beside it."""
+    block = (F.col("rank") / hot).cast("int")
+    last = lambda near: F.coalesce(F.max(F.when(F.col("near") == near, block)), F.lit(-1)).alias(f"last_{near}")
+    own = rows.join(rows.groupBy("key").agg(last(0), last(1)), "key").where("last_0 >= 0").withColumn("block", block)
+    upto = lambda near: F.when(F.col(f"last_{near}") >= 0, F.sequence(F.lit(0), F.col(f"last_{near}"))).otherwise(F.array().cast("array<int>"))
+    pair = lambda kind, x, y: F.xxhash64("key", F.lit(kind), x, y)
+    mine = F.col("block")
+    far = F.concat(F.transform(upto(0), lambda o: pair(0, F.least(mine, o), F.greatest(mine, o))), F.transform(upto(1), lambda o: pair(1, mine, o)))
+    near = F.transform(upto(0), lambda o: pair(1, o, mine))
+    return own.withColumn("grp", F.explode(F.when(F.col("near") == 1, near).otherwise(far)))
+
+
 def wide_links(fps: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
     """(a, b): a forest that connects all linked fingerprints of the distinct ones in
     low, high and size, by their nodes."""
@@ -471,13 +505,14 @@ def wide_links(fps: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["key", "low", "high"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, (key, low, high), before in _stream(batches, hot):
+        told = _Hot()
+        for kind, (key, low, high), _ in _stream(batches, hot):
             change = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             length = np.repeat(np.diff(change), np.diff(change))
             much = np.ones(len(key), bool) if kind == "hot" else length > hot
-            if much.any():
-                rank = before + np.arange(len(key)) - np.repeat(change[:-1], np.diff(change))
-                yield _wide_emit(int(much.sum()), key=key[much], low=low[much], high=high[much], rank=rank[much])
+            for i, j in zip(change, change[1:]):
+                if much[i]:
+                    yield from told.told(key[i:j], low[i:j], high[i:j])
             key, low, high = key[~much], low[~much].view(np.uint64), high[~much].view(np.uint64)
             a, b = _wide_compare(key, low, high, key >> _SEGMENT_BITS & 3)
             if len(a):
@@ -490,7 +525,7 @@ def wide_links(fps: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
 
     listed = fps.select("low", "high", "size").mapInArrow(list_keys, "key bigint, low bigint, high bigint")
     found = materialize(listed.repartition("key").sortWithinPartitions("key", "low", "high").mapInArrow(compare, _WIDE_LINK), "links")
-    paired = _block_pairs(found.where("b is null"), hot).select("grp", "key", "low", "high")
+    paired = _wide_block_pairs(found.where("b is null"), hot).select("grp", "key", "low", "high")
     more = paired.repartition("grp").sortWithinPartitions("grp", "low", "high").mapInArrow(compare_blocks, "a bigint, b bigint")
     return found.where("b is not null").select("a", "b").unionByName(more)
 

@@ -829,6 +829,33 @@ def test_keep_one_by_brute_force(spark, hot, run, monkeypatch):
     assert sorted(x["doc_id"] for x in kept) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("hot", [40, 1000])
+def test_dense_groups_are_dealt_once(spark, hot):
+    """Near copies under one key: rows dealt for comparison follow the number of rows."""
+    r = np.random.default_rng(hot)
+    low, high = (int(x) for x in r.integers(0, 1 << 63, 2, dtype=np.uint64))
+    rows, far = {(low, high)}, set()
+    while len(rows) < 700:
+        x = low
+        for b in r.integers(16, 64, 4):
+            x ^= 1 << int(b)
+        rows.add((x, high ^ 1 << int(r.integers(0, 64))))
+    while len(far) < 30:  # the same segment, other bits elsewhere
+        far.add((low & 0xFFFF | int(r.integers(0, 1 << 47)) << 16, int(r.integers(0, 1 << 63))))
+    signed = [(int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64)), 100) for a, b in sorted(rows | far)]
+    fps = spark.createDataFrame(signed, "low long, high long, size long")
+    got = {x["node"]: x["root"] for x in simhash.components(simhash.wide_links(fps, hot)).collect()}
+    node = lambda xs: simhash._node(*(np.array(c, np.uint64) for c in zip(*xs))).view(np.int64).tolist()
+    members = node(sorted(rows))
+    assert {got.get(x, x) for x in members} == {min(members)}
+    assert not set(node(sorted(far))) & set(got)
+    if hot == 40:
+        near_rows = spark.createDataFrame([(1, *x[:2], 1, i) for i, x in enumerate(signed[:400])], "key long, low long, high long, near long, rank long")
+        assert simhash._wide_block_pairs(near_rows, 40).count() == 0
+        few = near_rows.unionByName(near_rows.where("rank < 5").selectExpr("key", "low", "high", "0L as near", "rank"))
+        assert simhash._wide_block_pairs(few, 40).count() == 400 + 5 * 11
+
+
 def test_long_runs_and_short_ones_connect_the_same():
     r = np.random.default_rng(5)
     centres = r.integers(0, 1 << 64, (40, 2), dtype=np.uint64)
