@@ -280,3 +280,26 @@ def test_stream(spark, tmp_path):
         assert dict(tuple(r) for r in spark.table("status_now").collect()) == {"passed": 7, "failed": 2}
     finally:
         query.stop()
+
+
+def test_stream_sums_equal_those_of_a_table(spark, tmp_path):
+    """Files that come later, with names that come before, count as well."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "m.fq").write_bytes(text(GOLDEN))
+    whole = spark.createDataFrame(GOLDEN + GOLDEN[:4], SCHEMA)
+    wanted = {"stream_histograms": statistics.histograms(statistics.read_stats(whole)), "stream_positions": statistics.position_counts(whole)}
+    running = {}
+    try:
+        for name in wanted:
+            df = getattr(counters, name)(counters.stream_fastq(spark, str(folder)))
+            running[name] = df.writeStream.format("memory").queryName(name).outputMode("complete").start()
+        for q in running.values():
+            q.processAllAvailable()
+        (folder / "a.fq").write_bytes(text(GOLDEN[:4]))
+        for name, q in running.items():
+            q.processAllAvailable()
+            assert Counter(tuple(r) for r in spark.table(name).collect()) == Counter(tuple(r) for r in wanted[name].collect())
+    finally:
+        for q in running.values():
+            q.stop()
