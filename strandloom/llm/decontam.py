@@ -27,6 +27,8 @@ from strandloom.llm._shared import materialize
 WINDOW = 8
 #: Windows, and bytes of their text, that are broadcast.
 SET_SIZE, SET_BYTES = 200_000, 32 << 20
+#: Hits of 8 bytes that ``decontaminate`` broadcasts.
+BROADCAST_HITS = 1_000_000
 #: Bits of the bitmap for each window, and in all.
 BITS_EACH, FEWEST_BITS, MOST_BITS = 256, 1 << 12, 1 << 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,12 +145,16 @@ def without_spans(text: Column, hits: Column) -> Column:
     return F.trim(F.concat(before, kept))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """Documents with passages of ``least_items`` items or more go; from others
     the passages go.  A document without a hit stays as it is.  Columns stay;
-    ``n_chars``, if there is one, follows the text."""
+    ``n_chars``, if there is one, follows the text.  Up to ``broadcast_hits`` hits
+    are broadcast with the ids of their documents, so the texts aren't shuffled."""
     names = docs.columns
     dirty = scan(docs, benchmark).where("size(items) > 0").select(F.col("doc_id").alias("_sl_id"), F.col("text_hash").alias("_sl_hash"), F.col("hits").alias("_sl_hits"), F.size("items").alias("_sl_n"))
+    dirty = materialize(dirty, "dirty")
+    if (dirty.agg(F.sum(F.size("_sl_hits"))).first()[0] or 0) <= broadcast_hits:
+        dirty = F.broadcast(dirty)
     here = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     joined = docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_sl_id")) & (here == F.col("_sl_hash")), "left")
     kept = joined.where(F.coalesce(F.col("_sl_n") < least_items, F.lit(True)))
