@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import materialize
+from strandloom.llm._shared import labelled, materialize
 
 #: Leftmost matches of these equal those of the plain patterns
 #: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and so on.
@@ -53,8 +53,6 @@ PATTERNS = {
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 TERM = r"\p{L}{3,}"
 REACH, Z, GENERALISE, REMOVE = 128, 1.645, 0.85, 0.95
-#: Terms that are looked up by a broadcast; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -142,15 +140,10 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, least: float = GENERA
     near = near.select("entity", "context", F.explode(F.regexp_extract_all("side", F.lit(TERM), F.lit(0))).alias("term"))
     pairs = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
     pairs = materialize(pairs, "pairs")
-    around = pairs.groupBy("entity").agg(F.sum("n_both").alias("n_entity"))
-    terms = pairs.select("term").distinct()
-    n = terms.limit(BROADCAST_TERMS + 1).count()
-    if not n:
+    around = materialize(pairs.groupBy("entity").agg(F.sum("n_both").alias("n_entity"), F.count("*").alias("n")), "around")
+    if pairs.isEmpty():
         return None
     tokens = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0))).alias("token"))
-    if n <= BROADCAST_TERMS:
-        # All other tokens count under null, so one pass gives the total as well.
-        tokens = tokens.join(F.broadcast(terms), F.col("token") == F.col("term"), "left").select(F.col("term").alias("token"))
     counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("n_term")), "terms")
     total = counts.agg(F.sum("n_term")).first()[0] or 1
     p = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
@@ -158,7 +151,9 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, least: float = GENERA
     trials = F.greatest(F.lit(1.0), F.col("n_term") * F.col("contexts") / F.col("n_both"))
     ic = -F.log(F.least(F.col("n_entity") / F.lit(float(total)), F.lit(1.0)))
     disclosure = F.when(ic > 0, F.least(F.lit(1.0), (F.log(_lower_share(p, trials, z)) + ic) / F.greatest(ic, F.lit(1e-300)))).otherwise(F.lit(0.0))
-    known = pairs.join(counts, F.col("term") == F.col("token")).join(around, "entity")
+    # Common words stand near many entities, and kinds near many words.
+    near = pairs.groupBy("term").agg(F.count("*").alias("n")).join(counts, F.col("term") == F.col("token")).select("term", "n_term", "n")
+    known = labelled(labelled(pairs, "term", materialize(near, "near"), "n_term"), "entity", around, "n_entity")
     return known.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= least)
 
 
@@ -176,8 +171,7 @@ def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
     pairs = materialize(pairs, "disclosing")
     rows = base.where(F.size("base") > 0).dropDuplicates(["row_key"])
     own = rows.select("row_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    few = pairs.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    met = own.join(F.broadcast(pairs) if few else pairs, "term")
+    met = own.join(pairs, "term")
     held = mentions.select("row_key", "entity").distinct()
     per_doc = met.join(held, ["row_key", "entity"], "left_semi").groupBy("row_key", "term").agg(F.max("disclosure").alias("disclosure"))
     gone = F.when(F.col("disclosure") >= remove, F.col("term"))
