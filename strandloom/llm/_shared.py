@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ _MADE: list[str] = []
 _AT_EXIT: set[str] = set()
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system.  Python workers live on from one
+    stage to the next, and what each of them once needed would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)  # glibc alone has it
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path for work files.  What is left below the application's folder is
     removed when the driver's process ends; ``work_files`` removes it before."""

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import short_batches
+from strandloom.llm._shared import give_back, short_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -166,6 +166,8 @@ def fit(docs: DataFrame, rows_per_language: int = 20_000, max_languages: int = 2
                         np.add.at(own, (at[at >= 0], found[at >= 0]), 1)
             where = own.nonzero()
             yield pa.RecordBatch.from_arrays([pa.array(where[0], pa.int32()), pa.array(where[1], pa.int32()), pa.array(own[where])], ["lang", "bucket", "n"])
+            del own, where
+            give_back()
 
         sums = taken.select("text", "lang").mapInArrow(count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
         counts[sums["lang"], sums["bucket"]] = sums["n"]
@@ -182,6 +184,7 @@ def predictor(spark, model: LanguageModel):
         for texts in batches:
             languages, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": languages, "score": scores})
+        give_back()
 
     return predict
 

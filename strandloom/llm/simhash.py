@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from strandloom.llm._shared import labelled, materialize, short_batches, word_hashes
+from strandloom.llm._shared import give_back, labelled, materialize, short_batches, word_hashes
 
 SHINGLE = 4
 SEED = 42
@@ -64,6 +64,8 @@ BROADCAST_IDS = 500_000
 #: from which on it looks for whole groups.
 WIDE_SHINGLE, WIDE_DISTANCE, WIDE_TOTAL, WIDE_HOT, LONG_RUN = 5, 10, 20, 1 << 14, 256
 _SEGMENTS, _SEGMENT_BITS = 4, 16
+#: Pairs that are compared together.
+AT_ONCE = 1 << 15
 #: Shingles whose bits are added up together.
 PIECE = 1 << 16
 
@@ -348,8 +350,8 @@ def wide_fingerprint_of(words: np.ndarray, shingle: int = WIDE_SHINGLE) -> tuple
     halves = []
     for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
         ones = np.zeros(64, np.int64)
-        for i in range(0, len(made), PIECE):
-            bits = _mixed(made[i : i + PIECE] + np.uint64(salt)).astype("<u8").view(np.uint8).reshape(-1, 8)
+        for i in range(0, len(made), PIECE // 8):
+            bits = _mixed(made[i : i + PIECE // 8] + np.uint64(salt)).astype("<u8").view(np.uint8).reshape(-1, 8)
             ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         halves.append(int(((2 * ones > len(made)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()))
     return halves[0], halves[1], len(made)
@@ -399,7 +401,8 @@ def _spread(begin: int, end: int, linked) -> tuple[list[np.ndarray], list[np.nda
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            some, front = front[:64], front[64:]
+            many = max(1, AT_ONCE // len(rest))
+            some, front = front[:many], front[many:]
             a, b = np.repeat(some, len(rest)), np.tile(rest, len(some))
             met = linked(a, b).reshape(len(some), len(rest))
             hit = met.any(axis=0)
@@ -433,8 +436,8 @@ def _wide_compare(keys: np.ndarray, low: np.ndarray, high: np.ndarray, start: np
     end = np.repeat(np.where(length > LONG_RUN, 0, change[1:]), length)
     rows, by = np.arange(len(keys)), 1
     while len(rows := rows[rows + by < end[rows]]):
-        for i in range(0, len(rows), 1 << 18):
-            a = rows[i : i + (1 << 18)]
+        for i in range(0, len(rows), AT_ONCE):
+            a = rows[i : i + AT_ONCE]
             a = a[linked(a, a + by)]
             if len(a):
                 take(a, a + by)
@@ -499,10 +502,11 @@ def wide_links(fps: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low, high, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for i in range(0, len(low), 4000):
-                cut = slice(i, i + 4000)
+            for i in range(0, len(low), 500):
+                cut = slice(i, i + 500)
                 key, x, y = _wide_listings(low[cut].view(np.uint64), high[cut].view(np.uint64), size[cut])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["key", "low", "high"])
+        give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = _Hot()
@@ -517,6 +521,7 @@ def wide_links(fps: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
             a, b = _wide_compare(key, low, high, key >> _SEGMENT_BITS & 3)
             if len(a):
                 yield _wide_emit(len(a), a=a, b=b)
+        give_back()
 
     def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (group, key, low, high), _ in _stream(batches, 1 << 40):
@@ -541,6 +546,7 @@ def _wide_rows(docs: DataFrame) -> DataFrame:
                     cols[:, i] = wide_fingerprint_of(words)
             parts = [_node(cols[0], cols[1]), *cols]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x.view(np.int64)) for x in parts]], ["doc_id", "fp", "low", "high", "size"])
+        give_back()
 
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *[StructField(x, LongType()) for x in ("fp", "low", "high", "size")]])
     return materialize(docs.select("doc_id", "text").mapInArrow(made, schema), "fingerprints")

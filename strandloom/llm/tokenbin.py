@@ -43,7 +43,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import RangeBuckets, short_batches, slice_hashes, work_path
+from strandloom.llm._shared import RangeBuckets, give_back, short_batches, slice_hashes, work_path
 
 MAGIC = b"FWBP1\0\0\0"
 BLOCK = 4096
@@ -349,6 +349,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
             for i, ids in made.many(list(texts)):
                 out[i] = ids.astype(narrow).tobytes() + end
             yield pd.Series(out, dtype=object)
+        give_back()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _opened(folder)
@@ -371,6 +372,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
         if writer:
             done()
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*told) if told else [()] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "path", "docs", "n"])
+        give_back()
 
     encoded = docs.select("doc_id", ranges.index(F.col("doc_id")).alias("part"), encode(F.coalesce("text", F.lit(""))).alias("ids"))
     dealt = encoded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
