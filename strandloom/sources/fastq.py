@@ -5,6 +5,10 @@ it.  Where a range begins is found by frames of four lines: only a header has
 ``@`` in front and a line with ``+`` in front two lines below, since the line two
 below a quality line is a sequence.  Compressed files and ``multiline`` ones are
 read whole.
+
+``splitBytes`` is the size of a range.  Each range is a task, which costs far more
+than the reading of a small one, so beyond ``RANGES`` of them neighbours become one
+range, up to a block: two ranges that meet own the same records as one over both.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SCHEMA = "read_id string, sequence string, quality string"
 SUFFIXES = (".fq", ".fastq", ".fq.gz", ".fastq.gz")
 #: Bytes that are parsed together.
 BLOCK = 8 << 20
+#: Ranges of ``splitBytes`` that are read singly; of more, neighbours are joined.
+RANGES = 256
 _OWN_NAME = re.compile(r"part-\d{5}-[0-9a-f]{32}\.fq")
 
 
@@ -207,12 +213,15 @@ class _Reading:
         self.multiline = str(options.get("multiline", "false")).lower() == "true"
 
     def _ranges(self, files: list[tuple[str, int]]) -> list[ByteRange]:
+        whole = lambda path: path.endswith(".gz") or self.multiline
+        n = sum(-(-size // self.split) for path, size in files if not whole(path))
+        step = self.split * max(1, min(BLOCK // self.split, -(-n // RANGES)))
         out = []
         for path, size in files:
-            if path.endswith(".gz") or self.multiline:
+            if whole(path):
                 out.append(ByteRange(path, 0, None))
             else:
-                out += [ByteRange(path, a, min(size, a + self.split)) for a in range(0, size, self.split)]
+                out += [ByteRange(path, a, min(size, a + step)) for a in range(0, size, step)]
         return out
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:

@@ -92,6 +92,29 @@ def test_stream_offsets_list_files(tmp_path):
     assert list(reader.latestOffset()["files"]) == [str(tmp_path / "a.fq")]
 
 
+def test_small_ranges_are_joined_if_many():
+    """Tasks grow no faster than blocks of the input, and cuts stay where they were."""
+    for split, size, most in ((50_000, 10_000_000, 200), (50_000, 850_000_000, 256), (50_000, 5_100_000_000, 640), (100_000, 5_100_000_000, 640)):
+        found = fastq.FastqReader({"path": "/x", "splitbytes": str(split)})._ranges([("a.fq", size), ("b.fq.gz", 9), ("c.fq", 70)])
+        assert len(found) <= most + 3, (split, size, len(found))
+        a = [r for r in found if r.path == "a.fq"]
+        assert [r.end for r in a] == [r.start for r in a[1:]] + [size] and a[0].start == 0 and all(r.start % split == 0 for r in a)
+        assert [(r.path, r.start, r.end) for r in found[len(a) :]] == [("b.fq.gz", 0, None), ("c.fq", 0, 70)]
+    few = fastq.FastqReader({"path": "/x", "splitbytes": "50"})._ranges([("a.fq", 50 * 256)])
+    assert [r.end - r.start for r in few] == [50] * 256
+    large = fastq.FastqReader({"path": "/x", "splitbytes": str(20 << 20)})._ranges([("a.fq", 300 * (20 << 20))])
+    assert len(large) == 300
+
+
+def test_joined_ranges_give_every_read_once(spark, tmp_path):
+    records = [(f"{i} {x}", s, q) for i in range(400) for x, s, q in ODD]
+    (tmp_path / "a.fq").write_bytes(text(records[:1500]))
+    (tmp_path / "b.fq").write_bytes(text(records[1500:], "\r\n"))
+    df = fastq.read_fastq(spark, str(tmp_path), splitBytes=30)
+    assert df.rdd.getNumPartitions() <= 258
+    assert Counter(tuple(r) for r in df.collect()) == Counter(records)
+
+
 def test_odd_files():
     assert read(b"") == []
     assert read(b"@x\n\n+\n") == [("x", "", "")]
